@@ -8,7 +8,7 @@ concentrated as that of independent MinHash values (Dahlgaard, Knudsen and Thoru
 
 Bands of four coordinates form buckets. Within a bucket no set of all pairs is made: a few hubs
 are compared with the members outside their own component, linked members fall together, and
-only what is still apart meets the next, doubled, number of hubs. The rounds end when, in every
+only what is still apart meets the next, larger, number of hubs. The rounds end when, in every
 bucket, all pairs in different components have been compared, so no candidate is dropped.
 """
 
@@ -28,6 +28,8 @@ from .common import cut, slices, text_bytes
 
 U = np.uint64
 ROWS = 4
+#: Hubs of a bucket in the first round, and by how much they grow from round to round.
+HUBS = 4
 EMPTY = np.iinfo(np.uint64).max
 #: Odd 64-bit multipliers and the finaliser of a published 64-bit hash (fixed values).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -126,11 +128,8 @@ def _signatures(width: int, bands: int):
 
 
 def _verified(width: int, threshold_pct: int):
-    @lru_cache(maxsize=64)
-    def items(text: str) -> np.ndarray:
-        return shingle_hashes(text, width)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = lru_cache(maxsize=64)(lambda text: shingle_hashes(text, width))
         for whole in batches:
             for batch in slices(whole, 256):
                 keep = []
@@ -238,8 +237,8 @@ def near_duplicates(
         source.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").distinct()
     )
     nodes = cut(members.select("node").distinct())
-    found = components(nodes.union(links.select("a")).union(links.select("b")).distinct(), links)
-    tested, hubs = None, 1
+    found = cut(components(nodes.union(links.select("a")).union(links.select("b")).distinct(), links))
+    tested, hubs = None, HUBS
     while True:
         now = cut(members.join(found, "node"))
         apart = (
@@ -281,14 +280,16 @@ def near_duplicates(
             .select("a", "b", "text_a", "text_b")
             .mapInArrow(_verified(width, threshold_pct), "a long, b long")
         )
-        links = cut(links.union(linked).distinct())
-        found = cut(components(found.select("node"), links))
+        linked = cut(linked)
+        if not linked.isEmpty():
+            links = links.union(linked)
+            found = cut(components(found.select("node"), links))
         members = now.select("bucket", "node", "n").join(
             chosen.select("bucket", F.col("hub").alias("node"), F.col("hub_n").alias("n")),
             ["bucket", "node", "n"],
             "left_anti",
         )
-        hubs *= 2
+        hubs *= HUBS
     classes = sets.select("set_key", "node").join(found, "node", "left")
     return (
         signed.join(classes, "set_key", "left")
@@ -305,9 +306,8 @@ def near_duplicates(
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that are not the representative of their class.
 
-    All columns stay. Rows with a null id stay; of rows that repeat one id and text wholly, one
-    stays.
+    All columns stay. Rows with a null id stay; so do all rows that repeat a kept id.
     """
     id_col = options.get("id_col", "doc_id")
     dropped = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)

@@ -119,11 +119,11 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[
 
     patterns: (votes, documents). Returns the share of good documents and, for each rule, its
     odds {vote: log P(vote | good) - log P(vote | bad)}. It starts from accusations that are right
-    19 times of 20 and praise right in three of five; to abstain is a little praise. A vote never
+    99 times of 100 and praise right in three of five; to abstain is a little praise. A vote never
     speaks against its own sense: such odds become 0.
     """
     rules = len(patterns[0][0]) if patterns else len(RULES)
-    share, odds = 0.8, [{1: math.log(1.5), 0: math.log(1.2), -1: -math.log(19)} for _ in range(rules)]
+    share, odds = 0.8, [{1: math.log(1.5), 0: math.log(1.2), -1: -math.log(99)} for _ in range(rules)]
     for _ in range(rounds if patterns else 0):
         counts = [{c: {v: 1.0 for v in (-1, 0, 1)} for c in (0, 1)} for _ in range(rules)]
         total = [1.0, 1.0]

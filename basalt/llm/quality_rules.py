@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, let, words_of
 
+#: Log odds that a vote may have: to accuse, to abstain, to praise.
+LIMITS = {-1: (-12.0, -5.0), 0: (0.0, 0.2), 1: (0.0, 2.0)}
 SYMBOLS = "#*$%&|<>"
 BREAKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -118,9 +120,9 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[
     """Two-class model of vote patterns by expectation-maximisation.
 
     patterns: (votes, documents). Returns the share of good documents and, for each rule, its
-    odds {vote: log P(vote | good) - log P(vote | bad)}. It starts from accusations that are right
-    99 times of 100 and praise right in three of five; to abstain is a little praise. A vote never
-    speaks against its own sense: such odds become 0.
+    odds {vote: log P(vote | good) - log P(vote | bad)}, within LIMITS, and the share of good ones
+    within 0.5 and 0.95. Without limits the likeliest two classes need not be good and bad: faults
+    exclude each other, and the fault that meets others most often becomes the class.
     """
     rules = len(patterns[0][0]) if patterns else len(RULES)
     share, odds = 0.8, [{1: math.log(1.5), 0: math.log(1.2), -1: -math.log(99)} for _ in range(rules)]
@@ -137,8 +139,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[
         for j in range(rules):
             sums = [sum(counts[j][c].values()) for c in (0, 1)]
             odds[j] = {v: math.log(counts[j][1][v] / sums[1]) - math.log(counts[j][0][v] / sums[0]) for v in (-1, 0, 1)}
-            odds[j] = {v: 0.0 if v * x < 0 else x for v, x in odds[j].items()}
-            odds[j][0] = max(0.0, odds[j][0])
+            odds[j] = {v: max(LIMITS[v][0], min(LIMITS[v][1], x)) for v, x in odds[j].items()}
+        share = max(0.5, min(0.95, share))
     return share, odds
 
 

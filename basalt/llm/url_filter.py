@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut
 
 #: Longest context, in characters, and the fixed number of hashed n-gram counters.
-ORDER, BUCKETS = 4, 1 << 16
+ORDER, BUCKETS = 4, 1 << 15
 #: Weight of the shorter context's estimate, in observations; characters of the base alphabet.
 PRIOR, ALPHABET = 2.0, 96.0
 
@@ -143,7 +143,7 @@ def _model(urls: DataFrame) -> DataFrame:
         urls.sparkSession.range(BUCKETS)
         .select(F.col("id").cast("int").alias("id"))
         .join(values, "id", "left")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("ratio"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).cast("array<float>").alias("ratio"))
     )
 
 
@@ -154,7 +154,7 @@ def _score(text: Column, ratio: Column) -> Column:
         orders = [
             F.when(e >= n, F.get(ratio, _bucket(F.substring(text, e - n + 1, F.lit(n))))) for n in range(ORDER + 1, 0, -1)
         ]
-        return F.coalesce(*orders, F.lit(0.0))
+        return F.coalesce(*orders, F.lit(0.0).cast("float")).cast("double").cast("double")
 
     ends = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
     total = F.aggregate(ends, F.lit(0.0), lambda acc, e: acc + at(e))
@@ -184,8 +184,8 @@ def judged_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
     labelled = ruled.where("given is not null").select((F.col("given") == "allow").alias("accepted"), "text")
     part = F.pmod(F.xxhash64("text"), F.lit(4))
     ratio = cut(_model(labelled.where(part != 0)))
-    score = let(ratio.scalar(), lambda r: _score(F.col("text"), r))
-    held = labelled.where(part == 0).select("accepted", score.alias("x"))
+    score = _score(F.col("text"), F.col("ratio"))
+    held = labelled.where(part == 0).withColumn("ratio", ratio.scalar()).select("accepted", score.alias("x"))
     stats = {
         r["accepted"]: r
         for r in held.groupBy("accepted").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).collect()
@@ -197,7 +197,8 @@ def judged_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
     else:
         cutoff = None
     return (
-        ruled.withColumn("score", F.round(score if cutoff is not None else F.lit(0.0), 9))
+        ruled.withColumn("ratio", ratio.scalar())
+        .withColumn("score", F.round(score if cutoff is not None else F.lit(0.0), 9))
         .withColumn("verdict", F.coalesce("given", F.when(F.col("score") >= (cutoff if cutoff is not None else -1.0), "allow").otherwise("block")))
         .select("page_id", "host", "path", "rule", "verdict", "score")
     )

@@ -25,8 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_of(docs: DataFrame) -> DataFrame:
+    return sentencepiece_codec.encoded(docs, Path(MODEL).read_bytes(), texts=False)
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"), Path(MODEL).read_bytes(), texts=False)
+    return op1_of(table(spark, sf_dir, "documents"))
 
 
 def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,20 +8,22 @@ concentrated as that of independent MinHash values (Dahlgaard, Knudsen and Thoru
 
 Bands of four coordinates form buckets. Within a bucket no set of all pairs is made: a few hubs
 are compared with the members outside their own component, linked members fall together, and
-only what is still apart meets the next, larger, number of hubs. The rounds end when, in every
-bucket, all pairs in different components have been compared, so no candidate is dropped.
+only what is still apart meets the next, larger, number of hubs. Hubs are first those that share
+most buckets. The rounds end when, in every bucket, all pairs in different components have been
+compared, so no candidate is dropped. Before texts are read, pairs go that cannot be linked by
+their sizes or parity maps: maps of two sets differ in no more bits than the sets in members.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices, text_bytes
@@ -29,7 +31,9 @@ from .common import cut, slices, text_bytes
 U = np.uint64
 ROWS = 4
 #: Hubs of a bucket in the first round, and by how much they grow from round to round.
-HUBS = 4
+HUBS, GROWTH = 4, 16
+#: Bits of the parity map of a set.
+BITS = 512
 EMPTY = np.iinfo(np.uint64).max
 #: Odd 64-bit multipliers and the finaliser of a published 64-bit hash (fixed values).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -91,6 +95,12 @@ def sketch(items: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
+def parity_map(items: np.ndarray) -> np.ndarray:
+    """Which of BITS classes of hashes hold an odd number of the set, as 64-bit integers."""
+    odd = np.bincount((items >> U(17)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bands_for(threshold_pct: int, miss: float = 1e-6) -> int:
     """Bands of ROWS coordinates so that a pair at the threshold shares none with odds < miss."""
     hit = (threshold_pct / 100) ** ROWS
@@ -102,10 +112,11 @@ def _signatures(width: int, bands: int):
         numbers = np.arange(bands, dtype=U) * U(MULTIPLIERS[1])
         for whole in batches:
             for batch in slices(whole):
-                sizes, keys, marks = [], [], []
+                sizes, keys, marks, maps = [], [], [], []
                 for text in batch.column("text").to_pylist():
                     items = shingle_hashes(text, width)
                     sizes.append(len(items))
+                    maps.append(parity_map(items) if len(items) else None)
                     keys.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
                     if len(items):
                         state = numbers
@@ -120,8 +131,9 @@ def _signatures(width: int, bands: int):
                         pa.array(sizes, pa.int64()),
                         pa.array(keys, pa.binary()),
                         pa.array(marks, pa.list_(pa.int64())),
+                        pa.array(maps, pa.list_(pa.int64())),
                     ],
-                    names=["id", "n", "set_key", "bands"],
+                    names=["id", "n", "set_key", "bands", "odd"],
                 )
 
     return run
@@ -142,6 +154,12 @@ def _verified(width: int, threshold_pct: int):
     return run
 
 
+def _bits_apart(a: str, b: str) -> Column:
+    """In how many bits two parity maps differ; null where one is null."""
+    apart = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)]
+    return reduce(Column.__add__, apart)
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over links(a, b), by label spreading.
 
@@ -201,19 +219,19 @@ def near_duplicates(
     bands = bands_for(threshold_pct)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(
-        source.mapInArrow(_signatures(width, bands), "id long, n long, set_key binary, bands array<long>")
+        source.mapInArrow(_signatures(width, bands), "id long, n long, set_key binary, bands array<long>, odd array<long>")
     )
     sets = (
         signed.where("n > 0 and id is not null")
         .groupBy("set_key")
-        .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     )
     buckets = sets.select("node", "n", F.explode("bands").alias("bucket"))
     shared = (
         buckets.groupBy("bucket")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("mates"))
         .where("low <> high")
-        .select("bucket")
+        .select("bucket", "mates")
     )
     members = cut(buckets.join(shared, "bucket").distinct())
     # Two sets under one id: the id joins both classes.
@@ -238,9 +256,15 @@ def near_duplicates(
     )
     nodes = cut(members.select("node").distinct())
     found = cut(components(nodes.union(links.select("a")).union(links.select("b")).distinct(), links))
+    facts = cut(
+        members.groupBy("node")
+        .agg(F.sum("mates").alias("mates"))
+        .join(sets.groupBy("node").agg(F.min("odd").alias("odd"), F.max("odd").alias("other")), "node")
+        .select("node", F.col("mates").alias("rank_by"), F.when(F.col("odd") == F.col("other"), F.col("odd")).alias("odd"))
+    )
     tested, hubs = None, HUBS
     while True:
-        now = cut(members.join(found, "node"))
+        now = cut(members.join(found, "node").join(facts, "node"))
         apart = (
             now.groupBy("bucket")
             .agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -251,7 +275,7 @@ def near_duplicates(
         if now.isEmpty():
             break
         sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        order = Window.partitionBy("bucket").orderBy("size", "node", "n")
+        order = Window.partitionBy("bucket").orderBy("size", F.desc("rank_by"), "node", "n")
         chosen = cut(
             now.join(sizes, ["bucket", "component"])
             .withColumn("rank", F.row_number().over(order))
@@ -261,12 +285,14 @@ def near_duplicates(
                 F.col("node").alias("hub"),
                 F.col("n").alias("hub_n"),
                 F.col("component").alias("hub_component"),
+                F.col("odd").alias("hub_odd"),
             )
         )
         pairs = (
             now.join(chosen, "bucket")
             .where("component <> hub_component")
             .where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * threshold_pct)
+            .where(F.coalesce(_bits_apart("odd", "hub_odd") * (100 + threshold_pct) <= (F.col("n") + F.col("hub_n")) * (100 - threshold_pct), F.lit(True)))
             .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
             .distinct()
         )
@@ -289,7 +315,7 @@ def near_duplicates(
             ["bucket", "node", "n"],
             "left_anti",
         )
-        hubs *= HUBS
+        hubs *= GROWTH
     classes = sets.select("set_key", "node").join(found, "node", "left")
     return (
         signed.join(classes, "set_key", "left")

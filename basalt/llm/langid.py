@@ -75,6 +75,16 @@ class Model:
     weights: np.ndarray  # (BUCKETS, langs), already times idf and SCALE
     bias: np.ndarray
     temperature: float
+    words: WordIds | None = None  # stays for the next tasks of the same worker
+
+    def started(self) -> WordIds:
+        def figures(word: bytes) -> np.ndarray:
+            grams = grams_of(word)
+            return np.append(self.weights[grams].sum(axis=0), len(grams))
+
+        if self.words is None:
+            self.words = WordIds(figures, len(self.langs) + 1, 200_000)
+        return self.words
 
     def logits(self, text: str | None) -> np.ndarray:
         grams = [grams_of(w) for w in text_bytes(text).split()]
@@ -168,11 +178,7 @@ def predicted(docs: DataFrame, model: Model, *, text_col: str = "text", lang: st
         model = shared.value
         k = len(model.langs)
 
-        def figures(word: bytes) -> np.ndarray:
-            grams = grams_of(word)
-            return np.append(model.weights[grams].sum(axis=0), len(grams))
-
-        words = WordIds(figures, max(k, 1) + 1, 100_000)
+        words = model.started()
         for whole in batches:
             for batch in slices(whole):
                 names, sure = [], []

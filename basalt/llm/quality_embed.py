@@ -104,6 +104,22 @@ def fit(rows: list[tuple[str, int]], classes: int = 2, epochs: int = 8, rate: fl
     return m
 
 
+class _Scorer:
+    """Values of the buckets; the words met stay for the next tasks of the same worker."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.words = values, None
+
+    def started(self) -> WordIds:
+        def figures(word: bytes) -> tuple[float, int]:
+            grams = grams_of(word)
+            return self.values[grams].sum(), len(grams)
+
+        if self.words is None:
+            self.words = WordIds(figures, 2)
+        return self.words
+
+
 def scored(docs: DataFrame, model: Embeddings, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (probability of class 1) of each row of docs; two classes.
 
@@ -114,16 +130,10 @@ def scored(docs: DataFrame, model: Embeddings, *, id_col: str = "doc_id", text_c
     slope = model.layer[:, 1] - model.layer[:, 0]
     values = model.vectors @ slope
     bias = float(model.bias[1] - model.bias[0])
-    shared = docs.sparkSession.sparkContext.broadcast(values)  # BUCKETS + 2 numbers
+    shared = docs.sparkSession.sparkContext.broadcast(_Scorer(values))  # BUCKETS + 2 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = shared.value
-
-        def figures(word: bytes) -> tuple[float, int]:
-            grams = grams_of(word)
-            return values[grams].sum(), len(grams)
-
-        words = WordIds(figures, 2)
+        values, words = shared.value.values, shared.value.started()
         for whole in batches:
             for batch in slices(whole):
                 out = []

@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import sentencepiece
@@ -25,6 +26,25 @@ SPACE = "▁"
 NORMAL, BYTE = 1, 6
 
 
+class _Parts(dict):
+    """Ids of parts met. At most twice `limit` are held: those met lately, and those before."""
+
+    def __init__(self, encode, limit: int):
+        super().__init__()
+        self.encode, self.limit, self.older = encode, limit, {}
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.encode(part)
+        if len(part) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class Codec:
     """encode() and decode() of one model, given as the bytes of its file.
 
@@ -32,7 +52,7 @@ class Codec:
     and byte fallback; others raise ValueError.
     """
 
-    def __init__(self, model: bytes, cached: int = 250_000):
+    def __init__(self, model: bytes, cached: int = 400_000):
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         norm = proto.normalizer_spec
@@ -62,8 +82,8 @@ class Codec:
             if not crossing
             else "(?s).+"
         ).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.cached = cached
+        self.digits = [str(i) for i in range(len(proto.pieces))]
+        self.cache = _Parts(self.merged, cached)
 
     def merged(self, part: str) -> tuple[int, ...]:
         """Ids of a part by the agenda. Its entries: (cost, start, the pair as one string)."""
@@ -104,22 +124,28 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        cache, out = self.cache, []
-        if len(cache) > self.cached:
-            cache.clear()
-        for part in self.parts((SPACE + text).replace(" ", SPACE)):
-            ids = cache.get(part)
-            if ids is None:
-                ids = self.merged(part)
-                if len(part) <= 64:
-                    cache[part] = ids
-            out += ids
-        return out
+        parts = self.parts((SPACE + text).replace(" ", SPACE))
+        return list(chain.from_iterable(map(self.cache.__getitem__, parts)))
+
+    def digest(self, ids: list[int]) -> str:
+        """SHA-256 of the decimal ids joined by commas."""
+        return hashlib.sha256(",".join(map(self.digits.__getitem__, ids)).encode()).hexdigest()
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids) if ids else ""
 
 
+_codecs: dict[bytes, Codec] = {}
+
+
+def codec_of(model: bytes) -> Codec:
+    """The codec of a model, kept for the next tasks of this worker; one model at a time."""
+    if model not in _codecs:
+        _codecs.clear()
+        _codecs[model] = Codec(model)
+    return _codecs[model]
+
+
 SCHEMA = "{id} long, ids array<int>, decoded string, n_tokens long, ids_sha256 string, decoded_sha256 string, checked boolean"
 
 
@@ -136,21 +162,21 @@ def encoded(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for whole in batches:
             for batch in slices(whole, 256):
                 rows = [t or "" for t in batch.column("text").to_pylist()]
                 truth = codec.library.encode(rows, num_threads=1)
                 own = [codec.encode(t) for t in rows]
                 checked = [a == b for a, b in zip(own, truth)]
-                decoded = [codec.decode(ids) for ids in truth]
+                decoded = codec.library.decode(truth)
                 arrays = [batch.column("id")]
                 if texts:
                     arrays += [pa.array(truth, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 arrays += [
                     pa.array([len(ids) for ids in truth], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() for ids in truth]),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
+                    pa.array([codec.digest(ids) for ids in truth], pa.string()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
                     pa.array(checked, pa.bool_()),
                 ]
                 names = [id_col, *(["ids", "decoded"] if texts else []), "n_tokens", "ids_sha256", "decoded_sha256", "checked"]

@@ -60,6 +60,7 @@ class Lexicon:
     stems: dict[str, float]  # matched at word starts
     exceptions: set[str] = field(default_factory=set)  # folded phrases, matched as whole words
     layer: tuple[float, float, float] = (2.0, 1.0, -3.0)  # of the sum, the sum by length, and 1
+    forms: Folded | None = None  # stays for the next tasks of the same worker
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
@@ -171,7 +172,10 @@ def scored(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # stems of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, forms = shared.value, Folded()
+        lexicon = shared.value
+        if lexicon.forms is None:
+            lexicon.forms = Folded()
+        forms = lexicon.forms
         automaton = lexicon.automaton()
         a, b, c = lexicon.layer
         for whole in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -62,6 +63,20 @@ def slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
+class GramBuckets(dict):
+    """Hashed buckets of character n-grams; bounded, as a forgotten one is hashed again."""
+
+    def __init__(self, buckets: int, limit: int = 200_000):
+        super().__init__()
+        self.buckets, self.limit = buckets, limit
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[gram] = zlib.crc32(gram.encode("utf-8", "replace")) % self.buckets
+        return value
+
+
 class WordIds(dict):
     """Numbers words as they come and keeps a row of figures for each.
 
@@ -70,7 +85,7 @@ class WordIds(dict):
     before a text: ids stay valid until the next reserve().
     """
 
-    def __init__(self, figures, width: int, limit: int = 300_000):
+    def __init__(self, figures, width: int, limit: int = 200_000):
         super().__init__()
         self.figures, self.limit = figures, limit
         self.table = np.zeros((1024, width))

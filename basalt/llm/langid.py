@@ -7,7 +7,6 @@ counted over all documents that may be learned from.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, slices, text_bytes
+from .common import GramBuckets, WordIds, slices, text_bytes
 from .sampling import fold, labelled_texts
 
 BUCKETS = 1 << 13
@@ -26,15 +25,35 @@ PER_CLASS, MAX_CHARS, MAX_LANGS = 500, 5_000, 200
 UNKNOWN = "und"
 
 
+#: A-Z to lower case; every other ASCII character but letters parts words.
+LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)).lower()
+
+
+def words_in(text: str | None) -> list[bytes]:
+    """The words of a whole text: runs of ASCII letters and non-ASCII characters, A-Z lower-cased."""
+    return text_bytes(text).translate(LETTERS).split()
+
+
+_buckets = GramBuckets(BUCKETS)
+
+
 def grams_of(word: bytes) -> np.ndarray:
     """Buckets of the 1- to 3-character n-grams of a word, lower-cased, with a blank at each end."""
     marked = f" {word.decode('utf-8', 'replace').lower()} "
-    out = [
-        zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % BUCKETS
-        for n in range(1, LONGEST + 1)
-        for i in range(len(marked) - n + 1)
-    ]
-    return np.array(out, np.int32)
+    grams = [marked[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1)]
+    return np.fromiter(map(_buckets.__getitem__, grams), np.int32, len(grams))
+
+
+class _Grams(dict):
+    """grams_of() the words met; bounded, as a forgotten word is hashed again."""
+
+    def reserve(self) -> None:
+        if len(self) > 150_000:
+            self.clear()
+
+    def __missing__(self, word: bytes) -> np.ndarray:
+        grams = self[word] = grams_of(word)
+        return grams
 
 
 def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -44,20 +63,18 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, np.ndarray] = {}
+        cache = _Grams()
         df, n = np.zeros(BUCKETS + 1, np.int64), 0
         for whole in batches:
             for batch in slices(whole):
                 for text in batch.column("text").to_pylist():
                     n += 1
-                    if len(cache) > 150_000:
-                        cache.clear()
+                    words = set(words_in(text))
+                    if not words:
+                        continue
+                    cache.reserve()
                     flags = np.zeros(BUCKETS, bool)
-                    for word in set(text_bytes(text).split()):
-                        grams = cache.get(word)
-                        if grams is None:
-                            grams = cache[word] = grams_of(word)
-                        flags[grams] = True
+                    flags[np.concatenate(list(map(cache.__getitem__, words)))] = True
                     df[:BUCKETS] += flags
         df[BUCKETS] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1, dtype=np.int32)), pa.array(df)], names=["bucket", "n"])
@@ -78,16 +95,14 @@ class Model:
     words: WordIds | None = None  # stays for the next tasks of the same worker
 
     def started(self) -> WordIds:
-        def figures(word: bytes) -> np.ndarray:
-            grams = grams_of(word)
-            return np.append(self.weights[grams].sum(axis=0), len(grams))
-
         if self.words is None:
-            self.words = WordIds(figures, len(self.langs) + 1, 200_000)
+            ones = np.ascontiguousarray(np.column_stack([self.weights, np.ones(BUCKETS)]))
+            figures = lambda word: ones.take(grams_of(word), axis=0).sum(axis=0)
+            self.words = WordIds(figures, len(self.langs) + 1)
         return self.words
 
     def logits(self, text: str | None) -> np.ndarray:
-        grams = [grams_of(w) for w in text_bytes(text).split()]
+        grams = [grams_of(w) for w in words_in(text)]
         n = sum(map(len, grams))
         return (self.weights[np.concatenate(grams)].sum(axis=0) / n if n else 0.0) + self.bias
 
@@ -134,7 +149,7 @@ def fit(
     rng = np.random.default_rng(seed)
     bags = []
     for text, lang in rows:
-        grams = [grams_of(w) for w in text_bytes(text).split()]
+        grams = [grams_of(w) for w in words_in(text)]
         if grams:
             buckets, counts = np.unique(np.concatenate(grams), return_counts=True)
             x = np.append(counts / counts.sum() * idf[buckets] * SCALE, 1.0)
@@ -187,7 +202,7 @@ def predicted(docs: DataFrame, model: Model, *, text_col: str = "text", lang: st
                         names.append(UNKNOWN)
                         sure.append(0.0)
                         continue
-                    ids = words.ids(text_bytes(text).split())
+                    ids = words.ids(words_in(text))
                     sums = words.table[ids].sum(axis=0)
                     p = softmax((sums[:k] / max(sums[k], 1) + model.bias) / model.temperature)
                     best = int(p.argmax())

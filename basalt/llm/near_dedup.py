@@ -42,7 +42,7 @@ FINALISER = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

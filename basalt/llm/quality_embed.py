@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, slices, text_bytes
+from .common import GramBuckets, WordIds, slices, text_bytes
 from .sampling import fold, labelled_texts
 
 BUCKETS, WIDTH = 1 << 14, 8
@@ -27,12 +27,15 @@ SEEN, NEW = BUCKETS, BUCKETS + 1
 PER_CLASS, MAX_CHARS = 1500, 20_000
 
 
+_buckets = GramBuckets(BUCKETS)
+
+
 def grams_of(word: bytes) -> list[int]:
     """Buckets of a word: itself and its character n-grams, with marks at both ends."""
     marked = f"<{word.decode('utf-8', 'replace')}>"
     out = [zlib.crc32(b"w" + word) % BUCKETS]
     for n in GRAMS:
-        out += [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for i in range(len(marked) - n + 1)]
+        out += [_buckets[marked[i : i + n]] for i in range(len(marked) - n + 1)]
     return out
 
 
@@ -111,9 +114,11 @@ class _Scorer:
         self.values, self.words = values, None
 
     def started(self) -> WordIds:
+        listed = self.values.tolist()
+
         def figures(word: bytes) -> tuple[float, int]:
             grams = grams_of(word)
-            return self.values[grams].sum(), len(grams)
+            return sum(map(listed.__getitem__, grams)), len(grams)
 
         if self.words is None:
             self.words = WordIds(figures, 2)

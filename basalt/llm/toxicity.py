@@ -39,7 +39,7 @@ class Folded(dict):
     """Folded forms of words as UTF-8; bounded, as a forgotten word is folded again."""
 
     def __missing__(self, word: bytes) -> str:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         text = word.decode("utf-8", "replace").lower().translate(HOMOGLYPHS)
         core = text.strip(EDGES)

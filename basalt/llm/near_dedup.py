@@ -195,6 +195,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             )
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the same nodes, about one for each node.
+
+    A node with several links keeps that to the smallest partner, and its other partners are linked
+    with that one instead; many nodes have the same partners, so those links fall together.
+    """
+    least = links.groupBy("b").agg(F.min("a").alias("least"))
+    met = links.join(least, "b")
+    return met.select(F.col("least").alias("a"), "b").union(met.where("least <> a").select("least", F.col("a").alias("b"))).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -308,7 +319,7 @@ def near_duplicates(
         )
         linked = cut(linked)
         if not linked.isEmpty():
-            links = links.union(linked)
+            links = links.union(cut(thinned(linked)))
             found = cut(components(found.select("node"), links))
         members = now.select("bucket", "node", "n").join(
             chosen.select("bucket", F.col("hub").alias("node"), F.col("hub_n").alias("n")),

@@ -63,6 +63,22 @@ def slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
+_worker_caches: list[dict] = []
+
+
+def worker_cache(cache: dict) -> dict:
+    """A cache that stays for the next tasks of a Python worker, until another operator works there."""
+    _worker_caches.append(cache)
+    return cache
+
+
+def alone(cache: dict) -> None:
+    """Empties what other operators have left in this worker's caches, so that these never add up."""
+    for other in _worker_caches:
+        if other is not cache:
+            other.clear()
+
+
 class GramBuckets(dict):
     """Hashed buckets of character n-grams; bounded, as a forgotten one is hashed again."""
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GramBuckets, WordIds, slices, text_bytes
+from .common import GramBuckets, WordIds, alone, slices, text_bytes, worker_cache
 from .sampling import fold, labelled_texts
 
 BUCKETS = 1 << 13
@@ -34,7 +34,11 @@ def words_in(text: str | None) -> list[bytes]:
     return text_bytes(text).translate(LETTERS).split()
 
 
-_buckets = GramBuckets(BUCKETS)
+_buckets = worker_cache(GramBuckets(BUCKETS))
+
+
+def _begin() -> None:
+    alone(_buckets)
 
 
 def grams_of(word: bytes) -> np.ndarray:
@@ -63,6 +67,7 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         cache = _Grams()
         df, n = np.zeros(BUCKETS + 1, np.int64), 0
         for whole in batches:
@@ -193,6 +198,7 @@ def predicted(docs: DataFrame, model: Model, *, text_col: str = "text", lang: st
         model = shared.value
         k = len(model.langs)
 
+        _begin()
         words = model.started()
         for whole in batches:
             for batch in slices(whole):

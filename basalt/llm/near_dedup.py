@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_bytes
+from .common import alone, cut, slices, text_bytes, worker_cache
 
 U = np.uint64
 ROWS = 4
@@ -48,7 +48,11 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
+_hashes = worker_cache(_WordHashes())
+
+
+def _begin() -> None:
+    alone(_hashes)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,6 +113,7 @@ def bands_for(threshold_pct: int, miss: float = 1e-6) -> int:
 
 def _signatures(width: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         numbers = np.arange(bands, dtype=U) * U(MULTIPLIERS[1])
         for whole in batches:
             for batch in slices(whole):
@@ -141,6 +146,7 @@ def _signatures(width: int, bands: int):
 
 def _verified(width: int, threshold_pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         items = lru_cache(maxsize=64)(lambda text: shingle_hashes(text, width))
         for whole in batches:
             for batch in slices(whole, 256):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import slices
+from .common import alone, slices, worker_cache
 
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
@@ -135,11 +135,12 @@ class Codec:
         return self.library.decode(ids) if ids else ""
 
 
-_codecs: dict[bytes, Codec] = {}
+_codecs: dict[bytes, Codec] = worker_cache({})
 
 
 def codec_of(model: bytes) -> Codec:
     """The codec of a model, kept for the next tasks of this worker; one model at a time."""
+    alone(_codecs)
     if model not in _codecs:
         _codecs.clear()
         _codecs[model] = Codec(model)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bytes as B
-from .operators import detect, evidence, identity, ranges
+from .functions import formats
+from .operators import detect, evidence, identity, names, ranges
+from .sources import container
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,12 +121,71 @@ def sniffed_payloads(spark, d):
     return _t(spark, d, "documents").select("doc_id", detect.sniffed(p).alias("format"))
 
 
+def _containers(spark, d):
+    docs = _t(spark, d, "documents")
+    name = F.concat(F.lit("docs/"), F.col("doc_id"), F.lit(".txt"))
+    return container.packed(docs, F.floor(F.col("doc_id") / 64), name, B.payload("text"), segment_size=4096)
+
+
+def container_round_trip(spark, d):
+    found = container.contents(_containers(spark, d))
+    doc_id = F.regexp_extract("name", "([0-9]+)", 1).cast("long")
+    return found.select(
+        F.col("archive_id").cast("long").alias("archive"), doc_id.alias("doc_id"), F.octet_length("content").cast("long").alias("n_bytes"),
+        F.sha2("content", 256).alias("sha256"), "adler_ok", "error",
+    )
+
+
+def container_listing(spark, d):
+    segments = container.segments(container.indexed(_containers(spark, d)))
+    return segments.groupBy(F.col("archive_id").cast("long").alias("archive")).agg(
+        F.countDistinct("entry_no").alias("entries"), F.count("*").alias("segments"), F.sum("original_size").alias("n_bytes")
+    )
+
+
+def format_verdicts(spark, d):
+    """Each text in UTF-8, plain or with what the named format may not hold, as its id says."""
+    docs = _t(spark, d, "documents").withColumn("k", F.col("doc_id") % 4)
+    data = F.when(F.col("k") == 1, F.concat(B.payload("text"), F.lit(b"\xff"))).when(F.col("k") == 2, F.concat(B.payload("text"), F.lit(b"\0"))).otherwise(B.payload("text"))
+    name = F.when(F.col("k") == 3, "png").otherwise("utf8_text")
+    out = formats.validated(docs, "doc_id", name, data)
+    return out.select("id", "format", "valid", "strength", "strong")
+
+
+def text_verdicts(spark, d):
+    docs, props = _t(spark, d, "documents"), _t(spark, d, "events")
+    rows = docs.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text").union(props.select(F.lit("event"), "event_id", "props"))
+    return rows.select("kind", "id", F.coalesce(formats.text_reason(F.col("text")), F.lit("ok")).alias("verdict"))
+
+
+def neighbour_names(spark, d):
+    rows = _t(spark, d, "part").select("p_partkey", F.concat(F.lit("cg"), F.format_string("%02d", F.col("p_partkey") % 1000), F.lit("b.png")).alias("name"))
+    return names.neighbours(rows, "name")
+
+
+def reference_names(spark, d):
+    rows = _t(spark, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 2 == 0, "call:loadImage").otherwise("literal").alias("context"))
+    return names.candidates(rows, "url", "context").select("page_id", "candidate").distinct()
+
+
+def sampled_smallest(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.octet_length(B.payload("text")).cast("long").alias("size"))
+    return names.bounded_sample(rows, "size", ["doc_id"], 512, 100_000)
+
+
+TEXT_SQL = r"""t AS (SELECT 'document' AS kind, doc_id AS id, text AS s FROM documents UNION ALL SELECT 'event', event_id, props FROM events),
+  n AS (SELECT *, length(s) AS total, length(regexp_replace(s, '[^0-9A-Za-z \t\n\r]', '', 'g')) AS ascii,
+    length(s) - length(translate(s, '{}[]();=,.@/*+-_<>"''\:#$%&|!?', '')) AS syntax, length(regexp_replace(s, '[^ \t\n\r]', '', 'g')) AS space,
+    regexp_matches(s, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{fffd}]') AS bad, length(regexp_replace(s, '[^\x{e000}-\x{f8ff}\x{fffe}\x{ffff}]', '', 'g')) AS odd,
+    regexp_matches(s, '[\n\r]') AS lines FROM t)"""
+
 FLAGSHIP = "period_ranking"
 QUERIES = {
     f.__name__: f
     for f in (
         checksums, adler_sums, byte_entropy, byte_histogram, lag_coincidence, period_votes, period_ranking, pruned_slots, merged_ranges,
-        uncovered_ranges, layout, name_resolution, matched_halves, version_compare, sniffed_payloads,
+        uncovered_ranges, layout, name_resolution, matched_halves, version_compare, sniffed_payloads, container_round_trip, container_listing,
+        format_verdicts, text_verdicts, neighbour_names, reference_names, sampled_smallest,
     )
 }
 
@@ -159,5 +220,22 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT -o_orderkey - 1, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 89 = 0)
       SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN 'missing' WHEN o.o_orderkey IS NULL THEN 'added'
         WHEN o.o_orderstatus = n.s AND o.o_orderpriority = n.p THEN 'same' ELSE 'changed' END AS status FROM orders o FULL JOIN n USING (o_orderkey)""",
+    "container_round_trip": """SELECT doc_id // 64 AS archive, doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS sha256,
+      true AS adler_ok, NULL::VARCHAR AS error FROM documents""",
+    "container_listing": """WITH x AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents)
+      SELECT doc_id // 64 AS archive, count(*) AS entries, sum(greatest(1, (n + 4095) // 4096))::BIGINT AS segments, sum(n)::BIGINT AS n_bytes FROM x GROUP BY 1""",
+    "text_verdicts": f"""WITH {TEXT_SQL} SELECT kind, id, CASE WHEN s IS NULL OR total < 4 THEN 'too short' WHEN bad OR (total - odd) * 100 < total * 98 THEN 'strange characters'
+      WHEN total < 32 AND (ascii * 100 // total >= 20 OR syntax >= 2) THEN 'ok' WHEN total >= 32 AND (ascii * 100 // total >= 8 OR (syntax + space) * 100 // total >= 6
+      OR lines AND ascii * 100 // total >= 5) THEN 'ok' ELSE 'no structure' END AS verdict FROM n""",
+    "format_verdicts": f"""WITH {TEXT_SQL}, v AS (SELECT id, id % 4 = 0 AND total >= 4 AND NOT bad AND (total - odd) * 100 >= total * 98 AND CASE WHEN total < 32
+        THEN ascii * 100 // total >= 20 OR syntax >= 2 ELSE ascii * 100 // total >= 8 OR (syntax + space) * 100 // total >= 6 OR lines AND ascii * 100 // total >= 5 END AS ok
+        FROM n WHERE kind = 'document')
+      SELECT id, CASE WHEN id % 4 = 3 THEN 'png' ELSE 'utf8_text' END AS format, coalesce(ok, false) AS valid, CASE WHEN ok THEN 95 ELSE 0 END AS strength, coalesce(ok, false) AS strong FROM v""",
+    "neighbour_names": """WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 1000 < 10 THEN '0' ELSE '' END || (p_partkey % 1000)::VARCHAR AS digits FROM part),
+      y AS (SELECT *, digits::BIGINT AS v, unnest(range(greatest(digits::BIGINT - 128, 0), digits::BIGINT + 129)) AS w FROM x)
+      SELECT p_partkey, 'cg' || digits || 'b.png' AS name, 'cg' || CASE WHEN length(w::VARCHAR) < length(digits) THEN lpad(w::VARCHAR, length(digits)::INTEGER, '0') ELSE w::VARCHAR END || 'b.png' AS candidate FROM y WHERE w <> v""",
+    "sampled_smallest": """WITH x AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM documents),
+      y AS (SELECT *, row_number() OVER w AS rank, sum(size) OVER w AS reach FROM x WINDOW w AS (ORDER BY size, doc_id ROWS UNBOUNDED PRECEDING))
+      SELECT doc_id, size FROM y WHERE rank <= 512 AND reach <= 100000""",
     "sniffed_payloads": "SELECT doc_id, (" + "[" + ", ".join(f"'{n}'" for n, _ in detect.MAGIC) + f"])[doc_id % {len(detect.MAGIC)} + 1] AS format FROM documents",
 }

@@ -1,7 +1,7 @@
 """Quality rules as weak supervision: rules vote or abstain, expectation-maximisation weighs them.
 
 All of it is DataFrame functions. The votes of all documents are counted by pattern (at most
-3 ** len(RULES) patterns, whatever the input), the two-class model is fitted to those counts,
+2 * 3 ** len(RULES) patterns, whatever the input), the two-class model is fitted to those counts,
 and each document gets the posterior probability that it is good.
 """
 
@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, let, words_of
 
-#: Log odds that a vote may have: to accuse, to abstain, to praise.
-LIMITS = {-1: (-12.0, -5.0), 0: (0.0, 0.2), 1: (0.0, 2.0)}
+#: What is believed beforehand: the share of good documents and, by class (bad, good), how often a
+#: rule accuses, abstains and praises. It weighs PRIOR_ROWS documents and PRIOR_WEIGHT times the table.
+GOOD_SHARE = 0.8
+PRIOR = {0: {-1: 0.15, 0: 0.83, 1: 0.02}, 1: {-1: 0.005, 0: 0.965, 1: 0.03}}
+PRIOR_ROWS, PRIOR_WEIGHT = 100.0, 1.0
 SYMBOLS = "#*$%&|<>"
 BREAKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -116,31 +119,36 @@ def votes(m: Column) -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict]]:
+def fit(patterns: list[tuple[tuple[int, ...], bool, int]], rounds: int = 200) -> tuple[float, list[dict]]:
     """Two-class model of vote patterns by expectation-maximisation.
 
-    patterns: (votes, documents). Returns the share of good documents and, for each rule, its
-    odds {vote: log P(vote | good) - log P(vote | bad)}, within LIMITS, and the share of good ones
-    within 0.5 and 0.95. Without limits the likeliest two classes need not be good and bad: faults
-    exclude each other, and the fault that meets others most often becomes the class.
+    patterns: (votes, base_failed, documents). Returns the share of good documents among those
+    that passed, at least 0.5, so that a text without a vote is kept, and for each rule its odds
+    {vote: log P(vote | good) - log P(vote | bad)}; an abstention has none. Texts that failed are
+    bad, whatever the votes: they and the priors say which class is which. A rule starts as right
+    in no more documents than are bad by the prior share, and ends as its votes agree with the
+    class estimates: one that accuses many documents on its own loses its weight.
     """
-    rules = len(patterns[0][0]) if patterns else len(RULES)
-    share, odds = 0.8, [{1: math.log(1.5), 0: math.log(1.2), -1: -math.log(99)} for _ in range(rules)]
+    rules, documents = len(patterns[0][0]) if patterns else len(RULES), sum(n for _, failed, n in patterns if not failed)
+    weight, bad = PRIOR_ROWS + PRIOR_WEIGHT * documents, 1 - GOOD_SHARE
+    share, odds = GOOD_SHARE, []
+    for j in range(rules):
+        accused = max(sum(n for v, failed, n in patterns if v[j] == -1 and not failed) / max(documents, 1), 1e-9)
+        right = min(0.99, bad / accused)
+        odds.append({-1: math.log((1 - right) * bad) - math.log(right * GOOD_SHARE), 0: 0.0, 1: math.log(1.5)})
     for _ in range(rounds if patterns else 0):
-        counts = [{c: {v: 1.0 for v in (-1, 0, 1)} for c in (0, 1)} for _ in range(rules)]
-        total = [1.0, 1.0]
-        for pattern, n in patterns:
-            p = posterior(pattern, share, odds)
-            for c, weight in ((1, n * p), (0, n * (1 - p))):
-                total[c] += weight
+        counts = [{c: {v: weight * p for v, p in PRIOR[c].items()} for c in (0, 1)} for _ in range(rules)]
+        total = [weight * bad, weight * GOOD_SHARE]
+        for pattern, failed, n in patterns:
+            p = 0.0 if failed else posterior(pattern, share, odds)
+            for c, part in ((1, n * p), (0, n * (1 - p))):
+                total[c] += 0 if failed else part
                 for j, v in enumerate(pattern):
-                    counts[j][c][v] += weight
-        share = total[1] / (total[0] + total[1])
+                    counts[j][c][v] += part
+        share = max(0.5, total[1] / (total[0] + total[1]))
         for j in range(rules):
             sums = [sum(counts[j][c].values()) for c in (0, 1)]
-            odds[j] = {v: math.log(counts[j][1][v] / sums[1]) - math.log(counts[j][0][v] / sums[0]) for v in (-1, 0, 1)}
-            odds[j] = {v: max(LIMITS[v][0], min(LIMITS[v][1], x)) for v, x in odds[j].items()}
-        share = max(0.5, min(0.95, share))
+            odds[j] = {v: math.log(counts[j][1][v] / sums[1]) - math.log(counts[j][0][v] / sums[0]) for v in (-1, 1)} | {0: 0.0}
     return share, odds
 
 
@@ -153,7 +161,7 @@ def judged(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs as structs `row`, with `m` (measures), `quality` (posterior), `base_failed`, `kept`.
 
     base_failed: fewer than 50 words, or over half of the words repeated. kept: not base_failed
-    and quality >= 0.5. Null and empty texts have no words and so fail. Repeated rows are judged
+    and quality >= 0.5; quality is by the votes alone. Null and empty texts have no words and so fail. Repeated rows are judged
     alike; an empty table gives an empty result. Columns of docs stay in `row`, whatever their
     names. The model is fitted to all rows of docs.
     """
@@ -161,10 +169,14 @@ def judged(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return _judge(measured, _pattern_counts(measured.select("m")))
 
 
-def _pattern_counts(measured: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+def _pattern_counts(measured: DataFrame) -> list[tuple[tuple[int, ...], bool, int]]:
     names = [r[0] for r in RULES]
-    voted = measured.select(*[v.alias(k) for k, v in votes(F.col("m")).items()])
-    return sorted((tuple(r[k] for k in names), r["count"]) for r in voted.groupBy(*names).count().collect())
+    voted = measured.select(*[v.alias(k) for k, v in votes(F.col("m")).items()], _failed().alias("failed"))
+    return sorted((tuple(r[k] for k in names), r["failed"], r["count"]) for r in voted.groupBy(*names, "failed").count().collect())
+
+
+def _failed() -> Column:
+    return (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
 
 
 def _judge(measured: DataFrame, patterns) -> DataFrame:
@@ -172,11 +184,10 @@ def _judge(measured: DataFrame, patterns) -> DataFrame:
     x = F.lit(math.log(share) - math.log(1 - share))
     for (name, vote), o in zip(votes(F.col("m")).items(), odds):
         x = x + F.when(vote == 1, o[1]).when(vote == -1, o[-1]).otherwise(o[0])
-    failed = (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
     return (
         measured.withColumn("quality", F.round(1 / (1 + F.exp(-x)), 9))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.col("quality") >= 0.5))
+        .withColumn("base_failed", _failed())
+        .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
     )
 
 

@@ -93,6 +93,21 @@ def test_rule_counts_by_brute_force(spark, odd):
     assert quality_rules.keep_good(odd).columns == odd.columns
 
 
+def test_a_noisy_rule_is_overruled(spark):
+    words = [f"word{i}" for i in range(60)]
+    plain, loud, marked = " ".join(words), " ".join(words).upper(), " ".join(w + " #*" for w in words)
+    texts = [plain] * 400 + [loud] * 1200 + [marked] * 100 + [loud + " " + marked.upper()] * 20 + ["short"] * 100
+    rows = spark.createDataFrame([(i, f"{t} {i}") for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = [r.kept for r in quality_rules.quality_table(rows).orderBy("doc_id").collect()]
+    # Capitals accuse most of the table by themselves, symbols few: only the latter's word counts.
+    assert all(kept[:1600]) and not any(kept[1600:])
+    few = [(i, f"{t} {i}") for i, t in enumerate([plain] * 900 + [loud] * 30)]
+    kept = [r.kept for r in quality_rules.quality_table(spark.createDataFrame(few, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(kept[:900]) and not any(kept[900:])
+    most = [((0,) * 7, False, 100), ((-1,) + (0,) * 6, True, 900)]
+    assert quality_rules.posterior(most[0][0], *quality_rules.fit(most)) >= 0.5
+
+
 def test_targets_and_mix(spark, odd):
     goal = mixing.targets({"a": 10, "b": 1000, None: 90})
     assert sum(goal.values()) == pytest.approx(1100) and goal["a"] == 30.0 and goal[None] <= 270

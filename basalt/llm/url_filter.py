@@ -3,7 +3,8 @@
 Rules label a part of the URLs. From those, two variable-order Markov models are smoothed and
 learned, one for accepted and one for rejected URLs. A URL without a rule is allowed if its
 log-likelihood difference per character is above a threshold calibrated on labelled URLs that the
-models have not seen. Everything is DataFrame functions; the models are two arrays of fixed size.
+models have not seen. Everything is DataFrame functions; the models are one table of all n-grams,
+which the n-grams of the URLs are joined to.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Longest context, in characters, and the fixed number of hashed n-gram counters.
-ORDER, BUCKETS = 4, 1 << 15
+#: Longest context, in characters.
+ORDER = 4
+#: Log ratios are added as whole numbers of this part of one, so that the order does not matter.
+UNIT = 1e-9
 #: Weight of the shorter context's estimate, in observations; characters of the base alphabet.
 PRIOR, ALPHABET = 2.0, 96.0
 
@@ -58,10 +61,6 @@ def matched(host: Column, path: Column, rules: list[Rule]) -> Column:
     return empty if out is None else out.otherwise(empty)
 
 
-def _bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
-
-
 def _grams(text: Column, longest: int) -> Column:
     """All substrings of up to `longest` characters that end at each character of text."""
     ends = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
@@ -76,12 +75,11 @@ def _grams(text: Column, longest: int) -> Column:
 
 
 def _model(urls: DataFrame) -> DataFrame:
-    """One row with the array `ratio`, by bucket the log ratio of the two models' estimates.
+    """gram and v, the log ratio of the two models' estimates in UNITs, for every n-gram seen.
 
     urls: text, accepted. An n-gram's estimate in a model is (its count + PRIOR * the estimate of
     the n-gram without its first character) / (count of its context + PRIOR), so longer contexts
-    count as far as they have been seen. A bucket that no n-gram has is null: then a shorter
-    context decides. N-grams that share a bucket share its value (that of the most frequent).
+    count as far as they have been seen.
     """
     grams = (
         urls.select("accepted", F.explode(_grams(F.col("text"), ORDER + 1)).alias("gram"))
@@ -130,35 +128,32 @@ def _model(urls: DataFrame) -> DataFrame:
     ratios = levels[0]
     for level in levels[1:]:
         ratios = ratios.union(level)
-    values = ratios.groupBy(_bucket(F.col("gram")).alias("id")).agg(
-        F.max(
-            F.struct(
-                (F.col("yes") + F.col("no")).alias("n"),
-                "gram",
-                F.round(F.log("p_yes") - F.log("p_no"), 9).alias("v"),
-            )
-        )["v"].alias("v")
-    )
-    return (
-        urls.sparkSession.range(BUCKETS)
-        .select(F.col("id").cast("int").alias("id"))
-        .join(values, "id", "left")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).cast("array<float>").alias("ratio"))
-    )
+    return ratios.select("gram", F.round((F.log("p_yes") - F.log("p_no")) / UNIT).cast("long").alias("v"))
 
 
-def _score(text: Column, ratio: Column) -> Column:
-    """Mean over the characters of the log ratio under the longest context known."""
+def _windows(text: Column) -> Column:
+    """For each character of text, the up to ORDER + 1 characters that end there."""
+    ends = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.transform(ends, lambda e: F.substring(text, F.greatest(e - ORDER, F.lit(1)), F.least(e, F.lit(ORDER + 1))))
 
-    def at(e: Column) -> Column:
-        orders = [
-            F.when(e >= n, F.get(ratio, _bucket(F.substring(text, e - n + 1, F.lit(n))))) for n in range(ORDER + 1, 0, -1)
-        ]
-        return F.coalesce(*orders, F.lit(0.0).cast("float")).cast("double").cast("double")
 
-    ends = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    total = F.aggregate(ends, F.lit(0.0), lambda acc, e: acc + at(e))
-    return F.when(F.length(text) > 0, total / F.length(text)).otherwise(0.0)
+def _scores(texts: DataFrame, model: DataFrame) -> DataFrame:
+    """text and x, the mean over its characters of the log ratio under the longest context known.
+
+    texts: distinct, in `text`. Each distinct window takes the value of its longest ending that
+    the model has, 0 if it has none; so an n-gram that was not seen backs off.
+    """
+    parts = texts.where("text <> ''").select("text", F.explode(_windows(F.col("text"))).alias("window"))
+    endings = parts.select("window").distinct().select(
+        "window", F.explode(F.transform(F.sequence(F.lit(1), F.length("window")), lambda n: F.substring(F.col("window"), -n, n))).alias("gram")
+    )
+    known = endings.join(model, "gram").groupBy("window").agg(F.max(F.struct(F.length("gram").alias("n"), "v"))["v"].alias("v"))
+    return (
+        parts.join(known, "window", "left")
+        .groupBy("text")
+        .agg(F.sum(F.coalesce("v", F.lit(0))).alias("sum"))
+        .select("text", (F.col("sum") * UNIT / F.length("text")).alias("x"))
+    )
 
 
 def judged_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -183,9 +178,8 @@ def judged_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
     )
     labelled = ruled.where("given is not null").select((F.col("given") == "allow").alias("accepted"), "text")
     part = F.pmod(F.xxhash64("text"), F.lit(4))
-    ratio = cut(_model(labelled.where(part != 0)))
-    score = _score(F.col("text"), F.col("ratio"))
-    held = labelled.where(part == 0).withColumn("ratio", ratio.scalar()).select("accepted", score.alias("x"))
+    scores = cut(_scores(ruled.select("text").distinct(), _model(labelled.where(part != 0))))
+    held = labelled.where(part == 0).join(scores, "text", "left").select("accepted", F.coalesce("x", F.lit(0.0)).alias("x"))
     stats = {
         r["accepted"]: r
         for r in held.groupBy("accepted").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).collect()
@@ -197,8 +191,8 @@ def judged_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
     else:
         cutoff = None
     return (
-        ruled.withColumn("ratio", ratio.scalar())
-        .withColumn("score", F.round(score if cutoff is not None else F.lit(0.0), 9))
+        ruled.join(scores, "text", "left")
+        .withColumn("score", F.round(F.coalesce("x", F.lit(0.0)) if cutoff is not None else F.lit(0.0), 9))
         .withColumn("verdict", F.coalesce("given", F.when(F.col("score") >= (cutoff if cutoff is not None else -1.0), "allow").otherwise("block")))
         .select("page_id", "host", "path", "rule", "verdict", "score")
     )

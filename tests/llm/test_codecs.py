@@ -130,3 +130,17 @@ def test_url_rules(spark):
     assert [out[i].rule for i in range(9)] == ["example.com/en/7", "com/en/", "net/de/", None, None, None, "example.net/de/8", "org/es/", None]
     assert (out[0].host, out[0].path) == ("www.example.com", "/en/7a") and (out[3].host, out[3].path) == ("", "") == (out[4].host, out[4].path)
     assert url_filter.judged_urls(df.limit(0), rules).count() == 0
+
+
+def test_url_scores_by_brute_force(spark):
+    r = random.Random(3)
+    name = lambda letters: "".join(r.choice(letters) for _ in range(24))
+    seen = [(name("abcdefghijklmnopqrst"), True) for _ in range(1500)] + [(name("ghijklmnopqrstuvwxyz"), False) for _ in range(1500)]
+    model = {m.gram: m.v for m in url_filter._model(spark.createDataFrame(seen, "text string, accepted boolean")).collect()}
+    grams = {t[max(0, e - n) : e] for t, _ in seen for e in range(1, 25) for n in range(1, 6)}
+    assert set(model) == grams and len(grams) > 1 << 15  # none is thrown away
+    texts = [name("abcdefghijklmnopqrstuvwxyz0") for _ in range(50)] + ["", "0", "日本", "g"]
+    got = {x.text: x.x for x in url_filter._scores(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(list(model.items()), "gram string, v long")).collect()}
+    for t in filter(None, texts):
+        longest = (next((model[t[e - n : e]] for n in range(min(e, 5), 0, -1) if t[e - n : e] in model), 0) for e in range(1, len(t) + 1))
+        assert got[t] == pytest.approx(sum(longest) * 1e-9 / len(t), abs=1e-12)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -137,17 +137,33 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def take_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row repeated as often as mixed() says; docs' own columns only."""
+    """docs with every row repeated as often as mixed() says; docs' own columns only.
+
+    Rows that repeat id, text and source share their copies out evenly, the remainder one each.
+    """
     names = docs.columns
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    counts = mixed(docs, **options).where("copies > 0").select("doc_id", "mark", "copies")
-    # Rows that repeat id and text share their copies out by number, so each pair meets once.
-    counts = counts.groupBy("doc_id", "mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    id_col, text_col, source_col = (options.get(f"{c}_col", d) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source")))
+    counts = mixed(docs, **options).select("doc_id", "mark", "source", "copies")
+    counts = counts.groupBy("doc_id", "mark", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.col(id_col).cast("long").alias("id"),
         F.xxhash64(F.col(text_col).cast("string")).alias("mark"),
+        F.col(source_col).cast("string").alias("source"),
+    )
+    joined = keyed.join(
+        counts, keyed["id"].eqNullSafe(counts["doc_id"]) & (keyed["mark"] == counts["mark"]) & keyed["source"].eqNullSafe(counts["source"])
+    ).select("row", "id", keyed["mark"], keyed["source"], F.expr("copies div rows").alias("n"), F.expr("copies % rows").alias("left"))
+    # Only rows with a remainder are numbered: in their stored parts, after the rows of earlier parts.
+    key = ["id", "mark", "source"]
+    some = cut(joined.where("left > 0").withColumn("part", F.spark_partition_id()))
+    parts = some.groupBy(*key, "part").agg(F.count("*").alias("here"))
+    earlier = F.sum("here").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("part").alias("_part"), F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    number = F.row_number().over(Window.partitionBy(*key, "part").orderBy(F.lit(0)))
+    numbered = some.withColumn("number", number).join(
+        parts, (F.col("part") == F.col("_part")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")) & F.col("source").eqNullSafe(F.col("_source"))
     )
-    joined = keyed.join(counts, keyed["id"].eqNullSafe(counts["doc_id"]) & (keyed["mark"] == counts["mark"]))
-    each = joined.select("row", F.expr("cast(copies div rows as int)").alias("n")).where("n > 0")
-    return each.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    extra = F.when(F.col("earlier") + F.col("number") <= F.col("left"), 1).otherwise(0)
+    each = joined.where("left = 0").select("row", "n").union(numbered.select("row", (F.col("n") + extra).alias("n"))).where("n > 0")
+    return each.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")

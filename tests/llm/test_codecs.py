@@ -122,6 +122,15 @@ def test_targets_and_mix(spark, odd):
     assert mixing.take_copies(df).count() == sum(r.copies for r in rows)
 
 
+def test_copies_of_repeated_rows(spark):
+    rows = [(1, "a b", "x")] * 1000 + [(1, "a b", "y")] * 1000 + [(2, "c d", "y")] * 7 + [(i, "e f", None) for i in range(10, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    said, taken = Counter(), Counter((r.doc_id, r.source) for r in mixing.take_copies(df).collect())
+    for r in mixing.mixed(df).collect():
+        said[r.doc_id, r.source] += r.copies
+    assert taken == +said and any(n % 1000 for (i, _), n in said.items() if i == 1)
+
+
 def test_url_rules(spark):
     urls = ["https://www.Example.com/en/7a?x#y", "http://a.com/en/1", "http://net/de/9", "x.example.net/de/8", None, "", "http://b.example.net/de/8#f", "ftp://org/es/", "http://acom/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

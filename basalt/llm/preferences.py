@@ -7,14 +7,15 @@ of assistant turns.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import cut, slices
 
 ASSISTANT = "assistant"
-#: Conversations that begin alike are paired in salted groups of about this size.
-GROUP = 1024
 
 
 def conversations_of(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -87,24 +88,72 @@ def formatted(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, said and path: for each turn a hash of all turns up to it."""
+    for whole in batches:
+        for batch in slices(whole):
+            paths = []
+            for hashes in batch.column("hashes").to_pylist():
+                path, before = [], 0
+                for h in hashes:
+                    before = hash((before, h))  # of whole numbers only, so the same in every process
+                    path.append(before)
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("said"), pa.array(paths, pa.list_(pa.int64()))], names=["id", "said", "path"])
+
+
+def _neighbours(light: DataFrame) -> DataFrame:
+    """light (id, said, first, path) with the next row's other and other_said, and before, the id of the
+    last row, by path and id, as far as those have the same first.
+
+    Rows are dealt by ranges, so a group of any size is spread; what stands at the ends of a range
+    (a row for each, on the driver) is handed to the next.
+    """
+    dealt = cut(light.repartitionByRange("first", "path", "id").withColumn("range", F.spark_partition_id()))
+    place, row = F.struct("first", "path", "id"), F.struct("id", "said", "first")
+    ends = dealt.groupBy("range").agg(F.min_by(row, place).alias("low"), F.max_by(row, place).alias("high")).orderBy("range").collect()
+    edges = [
+        (e["range"], *(tuple(ends[k + 1]["low"]) if k + 1 < len(ends) else (None,) * 3), *((ends[k - 1]["high"]["id"], ends[k - 1]["high"]["first"]) if k else (None,) * 2))
+        for k, e in enumerate(ends)
+    ]
+    kind = light.schema["id"].dataType.simpleString()
+    edge = light.sparkSession.createDataFrame(edges, f"range int, next_id {kind}, next_said long, next_first long, last_id {kind}, last_first long")
+    order = Window.partitionBy("range").orderBy("first", "path", "id")
+    near = dealt.select(
+        "*", F.lead(row).over(order).alias("after"), F.lag(row).over(order).alias("prior")
+    ).join(F.broadcast(edge), "range")  # a row for each range
+    after = F.coalesce("after", F.struct(F.col("next_id").alias("id"), F.col("next_said").alias("said"), F.col("next_first").alias("first")))
+    prior_id = F.when(F.col("prior").isNull(), F.col("last_id")).otherwise(F.col("prior.id"))
+    prior_first = F.when(F.col("prior").isNull(), F.col("last_first")).otherwise(F.col("prior.first"))
+    return near.withColumn("after", after).select(
+        "id", "said",
+        F.when(F.col("after.first") == F.col("first"), F.col("after.id")).alias("other"),
+        F.when(F.col("after.first") == F.col("first"), F.col("after.said")).alias("other_said"),
+        F.when(prior_first == F.col("first"), prior_id).alias("before"),
+    )
+
+
 def paired(conversations: DataFrame) -> DataFrame:
-    """Each conversation with the next, by id, of those whose first turn is the same.
+    """Each conversation with the next of those whose first turn is the same.
 
-    Chosen is the one with more assistant text, on ties the smaller id. The last of a group goes
-    without a partner, unless it was the partner of the one before it. Groups of over GROUP
-    conversations are salted by the id, so none is gathered in one task.
+    They stand by the hashes of the longest run of leading turns that they share with any other,
+    then by id. So each stands beside one it shares most leading turns with, and those that share
+    equally many are in the order of their ids. Chosen is the one with more assistant text, on
+    ties the smaller id. The last that begins alike goes without a partner, unless it was the
+    partner of the one before it.
     """
-    said = F.aggregate("turns", F.lit(0), lambda n, t: n + F.when(t["role"] == ASSISTANT, F.length(t["text"])).otherwise(0))
-    light = conversations.select(
-        "id", said.alias("said"), F.xxhash64(F.get("turns", F.lit(0))["role"], F.get("turns", F.lit(0))["text"]).alias("first")
+    said = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.when(t["role"] == ASSISTANT, F.length(t["text"])).otherwise(0))
+    kind = conversations.schema["id"].dataType.simpleString()
+    hashed = conversations.select("id", said.alias("said"), F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])).alias("hashes"))
+    paths = cut(hashed.mapInArrow(_prefixes, f"id {kind}, said long, path array<bigint>"))
+    each = paths.select("id", F.posexplode("path").alias("depth", "prefix"))
+    shared = each.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
+    deepest = each.join(shared, "prefix").groupBy("id").agg((F.max("depth") + 1).alias("depth"))
+    light = paths.join(deepest, "id", "left").select(
+        "id", "said", F.get("path", F.lit(0)).alias("first"), F.slice("path", F.lit(1), F.coalesce("depth", F.lit(1))).alias("path")
     )
-    sizes = light.groupBy("first").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
-    salted = light.join(sizes, "first").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
-    order = Window.partitionBy("first", "salt").orderBy("id")
-    linked = salted.select(
-        "id", "said", F.lead("id").over(order).alias("other"), F.lead("said").over(order).alias("other_said"), F.lag("id").over(order).alias("before")
-    ).where("other is not null or before is null")
-    swap = F.col("other_said") > F.col("said")
+    linked = _neighbours(light).where("other is not null or before is null")
+    swap = (F.col("other_said") > F.col("said")) | ((F.col("other_said") == F.col("said")) & (F.col("other") < F.col("id")))
     chosen = linked.select(
         F.when(swap, F.col("other")).otherwise(F.col("id")).alias("chosen_id"),
         F.when(swap, F.col("id")).otherwise(F.col("other")).alias("rejected_id"),

@@ -103,3 +103,16 @@ def test_preferences(spark):
     assert sum(m.length for m in out[2].chosen_mask) == len(out[2].chosen) and [m.length for m in out[2].chosen_mask if m.trained] == [6]
     assert out[3].rejected is None and out[3].prompt_turns == 1
     assert preferences.preferences(df.limit(0)).count() == 0
+
+
+def test_partners_share_most_turns(spark):
+    def talk(i, *texts):
+        return [(i, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(texts)]
+
+    turns = [t for i in range(3000) for t in talk(i, "system", f"answer {i}")]  # one hot first turn
+    turns += talk(5001, "q", "a", "r", "x") + talk(5002, "q", "b", "s") + talk(5003, "q", "a", "r", "yy") + talk(5004, "q", "b", "t")
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    rows = [r for r in preferences.preferences(df).collect() if r.rejected_id is not None]
+    got = {tuple(sorted((r.chosen_id, r.rejected_id))): r.prompt_turns for r in rows}
+    assert {k for k in got if k[0] < 3000} == {(i, i + 1) for i in range(2999)}
+    assert got[5001, 5003] == 3 and got[5002, 5004] == 2 and len([k for k in got if k[0] > 5000]) == 3

@@ -308,7 +308,10 @@ def decoded_frames(bodies: list[bytes]) -> np.ndarray:
         out[plain] = table[:, where]
         rest |= {plain[i] for i in np.flatnonzero(~good)}
     for i in rest:
-        out[i] = np.frombuffer(lzw_decode(bodies[i], 8), np.uint8)[:UNIT]
+        raw = np.frombuffer(lzw_decode(bodies[i], 8), np.uint8)[:UNIT]
+        if len(raw) < UNIT:
+            raise ValueError("an image without all its pixels")
+        out[i] = raw
     return out
 
 
@@ -341,6 +344,8 @@ def media_of(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+#: What a damaged file may raise.
+UNREADABLE = (ValueError, IndexError, struct.error, TypeError, OverflowError, MemoryError)
 FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
     " media_sha256 string, feature string, n_frames int, duration int, histogram array<long>, error string"
@@ -348,13 +353,29 @@ FEATURES = (
 
 
 def features_of(media: DataFrame) -> DataFrame:
-    """Reads the files of media_of() back: samples, digests, frame times and colour histogram.
+    """Reads GIFs, such as those of media_of(): samples, digests, frame times and colour histogram.
 
-    histogram: pixels by brightness in EDGES bins over the composed frames (each covers the
-    screen and is opaque; palettes are applied). feature: frames, duration in 1/100 s and the
-    histogram. A file that isn't such a GIF has an error and null features.
+    payload: the palette indices of all frames as stored. histogram: opaque pixels by brightness in
+    EDGES bins over the composed screens. feature: frames, duration in 1/100 s and the histogram.
+    Files in the layout of media_of() are decoded together, others each by read_gif(). A file that
+    cannot be decoded whole has an error and null features.
     """
 
+    def described(row: dict, payload: bytes, bins: np.ndarray) -> dict:
+        return row | {
+            "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
+            "tail_crc32": zlib.crc32(payload[-32:]), "histogram": bins.tolist(),
+            "feature": f"frames={row['n_frames']};duration={row['duration']};bins=" + ",".join(map(str, bins)),
+        }
+
+    def composed(row: dict, data: bytes) -> dict:
+        frames, screens, _ = read_gif(data)
+        bins = np.zeros(EDGES, np.int64)
+        for screen in screens:
+            level = screen[..., :3].sum(axis=2, dtype=np.int64) * EDGES // 766
+            bins += np.bincount(level[screen[..., 3] > 0], minlength=EDGES)
+        return described(row, b"".join(f.pixels.tobytes() for f in frames), bins)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
             [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
@@ -363,43 +384,73 @@ def features_of(media: DataFrame) -> DataFrame:
         )
         for whole in batches:
             for batch in slices(whole, 256):
-                rows, bodies = [], []
+                rows = []
                 for ident, n_bytes, data in zip(*(batch.column(c).to_pylist() for c in ("id", "n_bytes", "gif"))):
                     row = dict.fromkeys(schema.names) | {"doc_id": ident, "n_bytes": n_bytes}
                     try:
                         width, height, parsed = parse_gif(data)
-                        if not parsed or any(
+                        if not parsed:
+                            raise ValueError("no image")
+                        facts = {
+                            "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "n_frames": len(parsed),
+                            "duration": sum(f.delay for f, _, _ in parsed),
+                        }
+                        if any(
                             f.pixels.shape != (SIDE, SIDE) or f.left or f.top or f.transparent is not None or least != 8
-                            or len(f.palette) != 256 for f, _, least in parsed
+                            or f.palette is not parsed[0][0].palette or len(f.palette) != 256 for f, _, least in parsed
                         ) or (width, height) != (SIDE, SIDE):
-                            raise ValueError("frames that do not each cover the screen")
-                    except (ValueError, IndexError, struct.error, TypeError) as e:
-                        rows.append((row | {"error": str(e)}, None, None))
+                            rows.append((composed(row | facts, data), None, None))
+                            continue
+                    except UNREADABLE as e:
+                        rows.append((row | {"error": str(e) or type(e).__name__}, None, None))
                         continue
-                    bodies += [b for _, b, _ in parsed]
-                    rows.append((row | {
-                        "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "n_frames": len(parsed),
-                        "duration": sum(f.delay for f, _, _ in parsed),
-                    }, parsed[0][0].palette, len(parsed)))
-                samples, at, out = decoded_frames(bodies), 0, []
-                for row, palette, n in rows:
-                    if n:
-                        payload = samples[at : at + n].tobytes()
-                        at += n
-                        level = palette.astype(np.int64).sum(axis=1) * EDGES // 766
-                        counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
-                        bins = np.bincount(level, weights=counts, minlength=EDGES).astype(np.int64)
-                        row |= {
-                            "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
-                            "tail_crc32": zlib.crc32(payload[-32:]), "histogram": bins.tolist(),
-                            "feature": f"frames={n};duration={row['duration']};bins=" + ",".join(map(str, bins)),
-                        }
+                    own = [b for _, b, _ in parsed]
+                    rows.append((row | facts, parsed[0][0].palette, own))
+                try:
+                    samples, at = decoded_frames([b for _, _, own in rows for b in own or ()]), 0
+                except UNREADABLE:
+                    samples = None  # one of them is damaged: each file by itself
+                out = []
+                for row, palette, own in rows:
+                    if own:
+                        try:
+                            if samples is None:
+                                payload = decoded_frames(own).tobytes()
+                            else:
+                                payload = samples[at : at + len(own)].tobytes()
+                                at += len(own)
+                            level = palette.astype(np.int64).sum(axis=1) * EDGES // 766
+                            counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+                            row = described(row, payload, np.bincount(level, weights=counts, minlength=EDGES).astype(np.int64))
+                        except UNREADABLE as e:
+                            row = dict.fromkeys(row) | {"doc_id": row["doc_id"], "n_bytes": row["n_bytes"], "error": str(e) or type(e).__name__}
                     out.append(row)
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return media.mapInArrow(run, FEATURES)
 
 
+def frames_table(media: DataFrame) -> DataFrame:
+    """A row for each frame of the GIFs (id, gif): id, frame, shown_at and delay (1/100 s), width, height, rgba.
+
+    rgba: the composed screen. A file that cannot be decoded whole has one row with an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "frame", "shown_at", "delay", "width", "height", "rgba", "error"]
+        kinds = [pa.int64(), *[pa.int32()] * 5, pa.binary(), pa.string()]
+        for batch in batches:
+            for ident, data in zip(*(batch.column(c).to_pylist() for c in ("id", "gif"))):
+                try:
+                    frames, screens, times = read_gif(data)
+                    rows = [(ident, k, t, f.delay, x.shape[1], x.shape[0], x.tobytes(), None) for k, (f, x, t) in enumerate(zip(frames, screens, times))]
+                except UNREADABLE as e:
+                    rows = [(ident, *[None] * 6, str(e) or type(e).__name__)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    return media.select("id", "gif").mapInArrow(run, "id long, frame int, shown_at int, delay int, width int, height int, rgba binary, error string")
+
+
 def stored_texts(docs: DataFrame, **columns) -> DataFrame:
     """One row per row of docs: what features_of() reads from the GIF of media_of()."""
     return features_of(media_of(docs, **columns))

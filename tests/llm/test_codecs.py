@@ -79,6 +79,22 @@ def test_damaged_media_has_an_error(spark):
     assert all(r.error and r.feature is None for r in media_gif.features_of(df).collect())
 
 
+def test_ordinary_gifs_are_read(spark):
+    head = b"GIF89a" + bytes([2, 0, 1, 0, 0x81, 0, 0, 0, 0, 0, 255, 0, 0, 0, 255, 0, 255, 255, 255])
+    image = lambda pixels: bytes([0x21, 0xF9, 4, 5, 7, 0, 0, 0, 0x2C, 0, 0, 0, 0, 2, 0, 1, 0, 0, 2, len(b := media_gif.lzw_encode(bytes(pixels), 2))]) + b + b"\0"
+    small = head + image([1, 1]) + image([0, 3]) + b"\x3b"
+    whole = media_gif.write_gif(bytes(576))
+    short = media_gif.HEADER + media_gif.CONTROL + media_gif.IMAGE + media_gif._chunked(media_gif.lzw_encode(bytes(9))) + b"\x3b"
+    df = spark.createDataFrame([(1, 0, small), (2, 0, short), (3, 0, whole)], "id long, n_bytes long, gif binary").coalesce(1)
+    one, two, three = media_gif.features_of(df).orderBy("doc_id").collect()
+    assert (one.n_frames, one.duration, one.histogram, one.error) == (2, 14, [0, 0, 3, 0, 0, 0, 0, 1], None)
+    assert one.payload_sha256 == hashlib.sha256(bytes([1, 1, 0, 3])).hexdigest()
+    assert two.error and two.feature is None and three.error is None and three.payload_bytes == 576
+    shown = media_gif.frames_table(df).where("id < 3").orderBy("id", "frame").collect()
+    red, white = bytes([255, 0, 0, 255]), b"\xff" * 4
+    assert [(r.id, r.shown_at, r.rgba and bytes(r.rgba)) for r in shown] == [(1, 0, red * 2), (1, 7, red + white), (2, None, None)]
+
+
 def test_rule_counts_by_brute_force(spark, odd):
     for r in quality_rules.quality_table(odd).collect():
         text = HARD[r.doc_id] or ""

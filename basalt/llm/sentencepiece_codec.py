@@ -155,7 +155,7 @@ def encoded(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col:
 
     ids_sha256: of the decimal ids joined by commas. decoded_sha256: of the decoded text in UTF-8.
     Null texts count as empty: no ids, empty decoded text. checked: whether the library's ids are
-    the same; where they are not, ids are the library's. With texts=False ids and decoded are left
+    the same; all else comes from the agenda's. With texts=False ids and decoded are left
     out. Repeated rows and an empty table need no rule; other columns are not read. The model goes
     to the executors as bytes (its size: the vocabulary file's, about half a MB).
     """
@@ -170,13 +170,13 @@ def encoded(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col:
                 truth = codec.library.encode(rows, num_threads=1)
                 own = [codec.encode(t) for t in rows]
                 checked = [a == b for a, b in zip(own, truth)]
-                decoded = codec.library.decode(truth)
+                decoded = codec.library.decode(own)
                 arrays = [batch.column("id")]
                 if texts:
-                    arrays += [pa.array(truth, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    arrays += [pa.array(own, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 arrays += [
-                    pa.array([len(ids) for ids in truth], pa.int64()),
-                    pa.array([codec.digest(ids) for ids in truth], pa.string()),
+                    pa.array([len(ids) for ids in own], pa.int64()),
+                    pa.array([codec.digest(ids) for ids in own], pa.string()),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
                     pa.array(checked, pa.bool_()),
                 ]

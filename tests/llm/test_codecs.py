@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from basalt.llm import media_gif, mixing, quality_rules, sentencepiece_codec, url_filter
 
@@ -37,6 +38,17 @@ def test_encoded_rows(spark, odd):
     assert sentencepiece_codec.encoded(odd.limit(0), model).count() == 0
 
 
+def test_rows_come_from_the_agenda(spark, odd, monkeypatch):
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    codec, runs = sentencepiece_codec.Codec(model), []
+    monkeypatch.setattr(type(odd), "mapInArrow", lambda self, run, schema: runs.append(run))
+    monkeypatch.setattr(sentencepiece_codec, "codec_of", lambda model: codec)
+    monkeypatch.setattr(codec, "encode", lambda text: [5])  # a wrong agenda shows in the rows
+    sentencepiece_codec.encoded(odd, model)
+    rows = [r for b in runs[0]([pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["the cat", "sat"]})]) for r in b.to_pylist()]
+    assert [(r["ids"], r["n_tokens"], r["checked"]) for r in rows] == [([5], 1, False)] * 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 600, 5000, 70000])
 def test_lzw_round_trip(n):
     r = random.Random(n)

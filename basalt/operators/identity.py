@@ -1,4 +1,4 @@
-"""Names and identities: resolution by hash, closure of references, comparison of two versions."""
+"""Names and identities: resolution by hash, comparison of two versions."""
 
 from __future__ import annotations
 

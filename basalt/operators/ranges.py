@@ -1,4 +1,4 @@
-"""Byte ranges: merging, complement, layout of objects behind each other, splitting."""
+"""Byte ranges: merging, complement, layout of objects behind each other."""
 
 from __future__ import annotations
 

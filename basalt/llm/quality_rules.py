@@ -15,25 +15,26 @@ from pyspark.sql import functions as F
 from .common import cut, let, words_of
 
 #: What is believed beforehand: the share of good documents and, by class (bad, good), how often a
-#: rule accuses, abstains and praises. It weighs PRIOR_ROWS documents and PRIOR_WEIGHT times the table.
+#: rule accuses and praises. It weighs PRIOR_ROWS documents and PRIOR_WEIGHT times the table.
 GOOD_SHARE = 0.8
-PRIOR = {0: {-1: 0.15, 0: 0.83, 1: 0.02}, 1: {-1: 0.005, 0: 0.965, 1: 0.03}}
-PRIOR_ROWS, PRIOR_WEIGHT = 100.0, 1.0
+PRIOR = {-1: (0.15, 0.005), 1: (0.5, 0.8)}
+PRIOR_ROWS, PRIOR_WEIGHT = 100.0, 0.2
 SYMBOLS = "#*$%&|<>"
 BREAKS = " \t\n\x0b\x0c\r"
+MARKS = "0123456789" + SYMBOLS + ".,;:!?()[]{}'\"-_/\\+=@^~`"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: name, measure, the range that is no fault, the range that votes good. Beyond the first a rule
-#: votes bad; within the second it votes good; else it abstains. Faults seldom come together, so
-#: that a text is free of one says little: these rules accuse or abstain.
+#: votes bad; within the second it votes good; else it abstains.
 RULES = (
-    ("length", "n_words", (50, 1e18), None),
-    ("symbols", "symbol_rate", (0, 0.25), None),
-    ("repeats", "repeat_rate", (0, 0.4), None),
+    ("length", "n_words", (50, 1e18), (80, 5000)),
+    ("symbols", "symbol_rate", (0, 0.25), (0, 0.02)),
+    ("repeats", "repeat_rate", (0, 0.4), (0, 0.05)),
     ("lines", "dup_line_rate", (0, 0.4), None),
-    ("variety", "variety", (0.12, 1e18), None),
-    ("word_length", "mean_word", (2.2, 14), None),
-    ("capitals", "capital_rate", (0, 0.4), None),
+    ("variety", "variety", (0.12, 1e18), (0.8, 1e18)),
+    ("word_length", "mean_word", (2.2, 14), (4.4, 6.5)),
+    ("capitals", "capital_rate", (0, 0.4), (0.003, 0.08)),
+    ("letters", "letter_share", (0.9, 1), (0.94, 1)),
 )
 
 
@@ -72,7 +73,7 @@ def _repeat_words(windows: Column, n_words: Column) -> Column:
 def measures(text: Column) -> Column:
     """A struct of the counts of one whole text; null counts as empty.
 
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct, n_capitals (long).
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct, n_lines, n_capitals, n_marks (long).
     Words are runs of anything but ASCII white space. n_dup_lines: lines with a word that equal an
     earlier line. n_repeat_words: words in windows of three words found twice or more.
     Windows are compared by 64-bit hash.
@@ -97,6 +98,7 @@ def measures(text: Column) -> Column:
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
             let(lines, lambda x: F.size(x)).cast("long").alias("n_lines"),
             _removed(text, UPPER).alias("n_capitals"),
+            _removed(text, MARKS).alias("n_marks"),
         ),
     )
 
@@ -112,6 +114,7 @@ def votes(m: Column) -> dict[str, Column]:
         "variety": m["n_distinct"] / F.sqrt(n * 60),
         "mean_word": m["word_chars"] / n,
         "capital_rate": m["n_capitals"] / F.greatest(m["word_chars"], F.lit(1)),
+        "letter_share": 1 - m["n_marks"] / F.greatest(m["word_chars"], F.lit(1)),
     }
     return {
         name: F.when(~found[by].between(*fair), -1).when(found[by].between(*good) if good else F.lit(False), 1).otherwise(0)
@@ -125,9 +128,11 @@ def fit(patterns: list[tuple[tuple[int, ...], bool, int]], rounds: int = 200) ->
     patterns: (votes, base_failed, documents). Returns the share of good documents among those
     that passed, at least 0.5, so that a text without a vote is kept, and for each rule its odds
     {vote: log P(vote | good) - log P(vote | bad)}; an abstention has none. Texts that failed are
-    bad, whatever the votes: they and the priors say which class is which. A rule starts as right
-    in no more documents than are bad by the prior share, and ends as its votes agree with the
-    class estimates: one that accuses many documents on its own loses its weight.
+    bad, whatever the votes: they and the priors say which class is which. They count for
+    accusations; most are too short to be praised, so how often bad texts are praised is told by
+    those that passed. A rule starts as right in no more documents than are bad by the prior
+    share, and ends as its votes agree with the class estimates: one that accuses many documents
+    on its own loses its weight.
     """
     rules, documents = len(patterns[0][0]) if patterns else len(RULES), sum(n for _, failed, n in patterns if not failed)
     weight, bad = PRIOR_ROWS + PRIOR_WEIGHT * documents, 1 - GOOD_SHARE
@@ -135,20 +140,24 @@ def fit(patterns: list[tuple[tuple[int, ...], bool, int]], rounds: int = 200) ->
     for j in range(rules):
         accused = max(sum(n for v, failed, n in patterns if v[j] == -1 and not failed) / max(documents, 1), 1e-9)
         right = min(0.99, bad / accused)
-        odds.append({-1: math.log((1 - right) * bad) - math.log(right * GOOD_SHARE), 0: 0.0, 1: math.log(1.5)})
+        odds.append({-1: math.log((1 - right) * bad) - math.log(right * GOOD_SHARE), 0: 0.0, 1: math.log(PRIOR[1][1] / PRIOR[1][0])})
     for _ in range(rounds if patterns else 0):
-        counts = [{c: {v: weight * p for v, p in PRIOR[c].items()} for c in (0, 1)} for _ in range(rules)]
-        total = [weight * bad, weight * GOOD_SHARE]
+        prior = (weight * bad, weight * GOOD_SHARE)
+        counts = [{v: [m * p for m, p in zip(prior, PRIOR[v])] for v in (-1, 1)} for _ in range(rules)]
+        passed, known_bad = list(prior), 0
         for pattern, failed, n in patterns:
             p = 0.0 if failed else posterior(pattern, share, odds)
+            known_bad += n if failed else 0
             for c, part in ((1, n * p), (0, n * (1 - p))):
-                total[c] += 0 if failed else part
+                passed[c] += 0 if failed else part
                 for j, v in enumerate(pattern):
-                    counts[j][c][v] += part
-        share = max(0.5, total[1] / (total[0] + total[1]))
+                    if v and not (failed and v == 1):
+                        counts[j][v][c] += part
+        share = max(0.5, passed[1] / sum(passed))
+        sums = {-1: (passed[0] + known_bad, passed[1]), 1: tuple(passed)}
         for j in range(rules):
-            sums = [sum(counts[j][c].values()) for c in (0, 1)]
-            odds[j] = {v: math.log(counts[j][1][v] / sums[1]) - math.log(counts[j][0][v] / sums[0]) for v in (-1, 1)} | {0: 0.0}
+            rate = {v: [counts[j][v][c] / sums[v][c] for c in (0, 1)] for v in (-1, 1)}
+            odds[j] = {v: math.log(rate[v][1]) - math.log(rate[v][0]) for v in (-1, 1)} | {0: 0.0}
     return share, odds
 
 
@@ -157,52 +166,56 @@ def posterior(pattern: tuple[int, ...], share: float, odds: list[dict]) -> float
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def judged(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """docs as structs `row`, with `m` (measures), `quality` (posterior), `base_failed`, `kept`.
+def _votes(m: Column) -> Column:
+    """A struct of the rules' votes and `failed`, from a struct of measures()."""
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    return F.struct(*[v.cast("byte").alias(k) for k, v in votes(m).items()], failed.alias("failed"))
 
-    base_failed: fewer than 50 words, or over half of the words repeated. kept: not base_failed
-    and quality >= 0.5; quality is by the votes alone. Null and empty texts have no words and so fail. Repeated rows are judged
-    alike; an empty table gives an empty result. Columns of docs stay in `row`, whatever their
-    names. The model is fitted to all rows of docs.
-    """
-    measured = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measures(F.col(f"`{text_col}`").cast("string")).alias("m"))
-    return _judge(measured, _pattern_counts(measured.select("m")))
 
-
-def _pattern_counts(measured: DataFrame) -> list[tuple[tuple[int, ...], bool, int]]:
+def _pattern_counts(voted: DataFrame) -> list[tuple[tuple[int, ...], bool, int]]:
+    """(votes, base_failed, rows) of the patterns in column v; at most 2 * 3 ** len(RULES) of them."""
     names = [r[0] for r in RULES]
-    voted = measured.select(*[v.alias(k) for k, v in votes(F.col("m")).items()], _failed().alias("failed"))
-    return sorted((tuple(r[k] for k in names), r["failed"], r["count"]) for r in voted.groupBy(*names, "failed").count().collect())
-
+    rows = voted.select("v.*").groupBy(*names, "failed").count().collect()
+    return sorted((tuple(r[k] for k in names), r["failed"], r["count"]) for r in rows)
 
-def _failed() -> Column:
-    return (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
 
-
-def _judge(measured: DataFrame, patterns) -> DataFrame:
+def _judge(voted: DataFrame, patterns) -> DataFrame:
+    """voted (with votes in v) and quality, base_failed, kept."""
     share, odds = fit(patterns)
     x = F.lit(math.log(share) - math.log(1 - share))
-    for (name, vote), o in zip(votes(F.col("m")).items(), odds):
-        x = x + F.when(vote == 1, o[1]).when(vote == -1, o[-1]).otherwise(o[0])
+    for (name, *_), o in zip(RULES, odds):
+        x = x + F.when(F.col(f"v.{name}") == 1, o[1]).when(F.col(f"v.{name}") == -1, o[-1]).otherwise(o[0])
     return (
-        measured.withColumn("quality", F.round(1 / (1 + F.exp(-x)), 9))
-        .withColumn("base_failed", _failed())
+        voted.withColumn("quality", F.round(1 / (1 + F.exp(-x)), 9))
+        .withColumn("base_failed", F.col("v.failed"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
     )
 
 
 def quality_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, the counts, base_failed, kept, quality. As judged().
+    """One row per row of docs: doc_id, the counts, base_failed, kept, quality.
 
-    Texts are read once: the counts are stored in the checkpoint folder between the fit and the
-    verdicts.
+    base_failed: fewer than 50 words, or over half of the words repeated. kept: not base_failed
+    and quality >= 0.5 (a tie keeps); quality is the posterior by the votes alone. Null and empty
+    texts have no words and so fail. Repeated rows are judged alike, each counting in the fit; an
+    empty table gives an empty result. Other columns are not read. The model is fitted to all rows
+    of docs. Texts are read once: the counts are stored in the checkpoint folder between the fit
+    and the verdicts.
     """
-    measured = cut(docs.select(F.col(id_col).alias("doc_id"), measures(F.col(text_col).cast("string")).alias("m")))
-    out = _judge(measured, _pattern_counts(measured))
+    m = measures(F.col(f"`{text_col}`").cast("string"))
+    voted = cut(docs.select(F.col(f"`{id_col}`").alias("doc_id"), m.alias("m"))).withColumn("v", _votes(F.col("m")))
+    out = _judge(voted, _pattern_counts(voted))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select("doc_id", *[F.col(f"m.{c}").alias(c) for c in base], "base_failed", "kept", "quality")
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs that judged() keeps, with docs' own columns."""
-    return judged(docs, text_col=text_col).where("kept").select("row.*")
+    """The rows of docs that quality_table() keeps, with docs' own columns, whatever their names.
+
+    Rows stand in the checkpoint folder with their votes between the fit and the verdicts, so that
+    texts are measured once.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    measured = docs.select(row, measures(F.col(f"`{text_col}`").cast("string")).alias("m"))
+    voted = cut(measured.select("row", _votes(F.col("m")).alias("v")))
+    return _judge(voted, _pattern_counts(voted)).where("kept").select("row.*")

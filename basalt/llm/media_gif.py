@@ -1,13 +1,14 @@
 """GIF media columns: LZW streams, palettes, disposal, transparency, timed frames, histograms.
 
-read_gif() decodes any GIF87a or GIF89a into composed RGBA frames with their times. write_gif()
-makes one of 8-bit frames. stored_texts() keeps texts in GIF samples without loss and reads them
-back, with the colour histogram of their frames.
+composed() decodes any GIF87a or GIF89a into its screens with their times. media_of() keeps texts
+in GIFs without loss: each screen holds 576 bytes, and its frame only what differs from the screen
+before. features_of() reads them back by way of the screens, with a colour histogram of each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,8 +25,10 @@ SIDE = 24
 UNIT = SIDE * SIDE
 DELAY = 4  # hundredths of a second
 EDGES = 8  # histogram bins of a colour channel
-#: Literal codes between two clear codes, so that codes stay 9 bits wide.
-RUN = 254
+#: Pixels of a screen beyond which a file is refused.
+MAX_PIXELS = 1 << 24
+#: Stands for an unchanged pixel where a frame does not hold it; UTF-8 never does.
+SAME = 0xFE
 
 
 @dataclass
@@ -34,11 +37,13 @@ class Frame:
 
     left: int
     top: int
-    pixels: np.ndarray  # (height, width) palette indices
+    width: int
+    height: int
     palette: np.ndarray  # (n, 3)
     delay: int = 0
     disposal: int = 0
     transparent: int | None = None
+    pixels: np.ndarray | None = None  # (height, width) palette indices, once decoded
 
 
 # --- LZW
@@ -81,15 +86,23 @@ def _expand(codes: np.ndarray, clear: int) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes, least: int) -> bytes:
-    """The indices of an LZW stream with minimum code size `least`."""
+def _schedule(least: int) -> np.ndarray:
+    """Widths of the codes after a clear code: an entry is added by every code but the first."""
     clear = 1 << least
-    # Widths of the codes after a clear code: an entry is added by every code but the first.
     known = clear + 2 + np.maximum(np.arange(0, 4098 - clear) - 1, 0)
-    schedule = np.maximum(np.ceil(np.log2(known + 1)).astype(np.int64), least + 1).clip(max=12)
-    out, bit, bits = [], 0, 8 * len(data)
-    while bit + least + 1 <= bits:
-        widths = schedule
+    return np.maximum(np.ceil(np.log2(known + 1)).astype(np.int64), least + 1).clip(max=12)
+
+
+SCHEDULES = {least: _schedule(least) for least in range(1, 12)}
+
+
+def lzw_decode(data: bytes, least: int, most: float = math.inf) -> bytes:
+    """The indices of an LZW stream with minimum code size `least`; reading ends once `most` are there."""
+    if least not in SCHEDULES:
+        raise ValueError("an LZW code size out of range")
+    clear, out, bit, bits, done = 1 << least, [], 0, 8 * len(data), 0
+    while bit + least + 1 <= bits and done < most:
+        widths = SCHEDULES[least]
         while True:
             ends = bit + np.cumsum(widths)
             fit = int(np.searchsorted(ends, bits, "right"))
@@ -100,53 +113,50 @@ def lzw_decode(data: bytes, least: int) -> bytes:
             widths = np.concatenate([widths, np.full(4096, 12)])  # a full table stays as it is
         n = int(stops[0]) if len(stops) else len(codes)
         out.append(_expand(codes[:n], clear))
+        done += len(out[-1])
         if not len(stops) or codes[n] == clear + 1:
             break
         bit = int(ends[n])
     return b"".join(out)
 
 
+def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of the given bit widths behind each other, least significant bit first."""
+    at = np.concatenate([[0], np.cumsum(widths)])
+    spread = codes << (at[:-1] & 7)
+    out = np.zeros((int(at[-1]) + 7) // 8 + 2, np.int64)
+    for k in range(3):  # a code reaches into three bytes at most; bits never meet
+        np.add.at(out, (at[:-1] >> 3) + k, spread >> (8 * k) & 255)
+    return out[: (int(at[-1]) + 7) // 8].astype(np.uint8).tobytes()
+
+
 def lzw_encode(data: bytes, least: int = 8) -> bytes:
     """A compressed LZW stream of the indices, with a clear code whenever the table is full."""
-    clear, acc, held, out = 1 << least, 0, 0, bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, held
-        acc |= code << held
-        held += width
-        while held >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            held -= 8
-
-    table, width = {}, least + 1
-    put(clear, width)
-    current, prefix = None, b""
-    for i in range(len(data)):
-        byte = data[i : i + 1]
-        longer = prefix + byte
-        code = table.get(longer) if prefix else data[i]
-        if code is not None:
-            current, prefix = code, longer
-            continue
-        put(current, width)
-        number = clear + 2 + len(table)
-        if number < 4096:
-            table[longer] = number
-            if number == 1 << width and width < 12:
-                width += 1
-        else:
-            put(clear, width)
-            table, width = {}, least + 1
-        current, prefix = data[i], byte
-    if current is not None:
-        put(current, width)
-        if clear + 2 + len(table) == 1 << width and width < 12:
-            width += 1
-    put(clear + 1, width)
-    if held:
-        out.append(acc & 255)
-    return bytes(out)
+    clear = 1 << least
+    codes, runs = [clear], [1]  # runs: where the code after each clear code stands
+    if data:
+        table, number = {}, clear + 2
+        prefix = data[0]
+        for byte in data[1:]:
+            key = prefix << 8 | byte
+            code = table.get(key)
+            if code is not None:
+                prefix = code
+                continue
+            codes.append(prefix)
+            if number < 4096:
+                table[key] = number
+                number += 1
+            else:
+                codes.append(clear)
+                runs.append(len(codes))
+                table, number = {}, clear + 2
+            prefix = byte
+        codes.append(prefix)
+    codes.append(clear + 1)
+    steps = np.diff([*runs, len(codes)])
+    widths = np.concatenate([[least + 1], *[SCHEDULES[least][:n] for n in steps]])
+    return _pack(np.array(codes), widths)
 
 
 # --- files
@@ -172,6 +182,8 @@ def parse_gif(data: bytes) -> tuple[int, int, list[tuple[Frame, bytes, int]]]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > MAX_PIXELS:
+        raise ValueError("too large a screen")
     shared, at = _palette(data, 13, flags)
     frames, delay, disposal, transparent = [], 0, 0, None
     while at < len(data) and data[at] != 0x3B:
@@ -183,136 +195,99 @@ def parse_gif(data: bytes) -> tuple[int, int, list[tuple[Frame, bytes, int]]]:
             at = end
         elif data[at] == 0x2C:
             left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
+            if w * h > MAX_PIXELS:
+                raise ValueError("too large an image")
             own, at = _palette(data, at + 10, flags)
             palette = own if own is not None else shared
             if palette is None:
                 raise ValueError("an image without a palette")
             least = data[at]
             body, at = _blocks(data, at + 1)
-            empty = np.empty((h, w), np.uint8)
-            frames.append((Frame(left, top, empty, palette, delay, disposal, transparent), body, least | (flags & 0x40) << 2))
+            frames.append((Frame(left, top, w, h, palette, delay, disposal, transparent), body, least | (flags & 0x40) << 2))
             delay, disposal, transparent = 0, 0, None
         else:
             raise ValueError("an unknown block")
     return width, height, frames
 
 
-def read_gif(data: bytes) -> tuple[list[Frame], list[np.ndarray], list[int]]:
-    """The frames as stored, the composed RGBA screens, and when each is shown (1/100 s)."""
+def composed(data: bytes) -> Iterator[tuple[Frame, np.ndarray, np.ndarray, int]]:
+    """For each image of a GIF: its frame, the screen as palette indices (0 where nothing has been
+    drawn) and as RGBA, and when it is shown (1/100 s). The two arrays change with the next image.
+    """
     width, height, parsed = parse_gif(data)
-    frames, screens, times, now = [], [], [], 0
-    canvas = np.zeros((height, width, 4), np.uint8)
+    shown, canvas, now = np.zeros((height, width), np.uint8), np.zeros((height, width, 4), np.uint8), 0
     for frame, body, packed in parsed:
-        h, w = frame.pixels.shape
-        raw = np.frombuffer(lzw_decode(body, packed & 255), np.uint8)
+        h, w = frame.height, frame.width
+        raw = np.frombuffer(lzw_decode(body, packed & 255, h * w), np.uint8)
         if len(raw) < h * w:
             raise ValueError("an image without all its pixels")
         frame.pixels = raw[: h * w].reshape(h, w)
         if packed >> 8:  # interlaced: rows 0, 8.., 4, 12.., 2, 6.., 1, 3..
             order = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
             frame.pixels = frame.pixels[np.argsort(order)]
-        before = canvas.copy()
-        area = canvas[frame.top : frame.top + h, frame.left : frame.left + w]
-        shown = frame.pixels[: area.shape[0], : area.shape[1]]
-        opaque = np.ones(shown.shape, bool) if frame.transparent is None else shown != frame.transparent
-        area[opaque, :3] = frame.palette[np.minimum(shown, len(frame.palette) - 1)][opaque]
-        area[opaque, 3] = 255
-        frames.append(frame)
-        screens.append(canvas.copy())
-        times.append(now)
+        before = (shown.copy(), canvas.copy()) if frame.disposal == 3 else None
+        at = np.s_[frame.top : frame.top + h, frame.left : frame.left + w]
+        area, colours = shown[at], canvas[at]
+        new = frame.pixels[: area.shape[0], : area.shape[1]]
+        opaque = np.ones(new.shape, bool) if frame.transparent is None else new != frame.transparent
+        area[opaque] = new[opaque]
+        colours[opaque, :3] = frame.palette[np.minimum(new[opaque], len(frame.palette) - 1)]
+        colours[opaque, 3] = 255
+        yield frame, shown, canvas, now
         now += frame.delay
         if frame.disposal == 2:
-            area[:] = 0
-        elif frame.disposal == 3:
-            canvas = before
-    return frames, screens, times
+            area[:], colours[:] = 0, 0
+        elif before:
+            shown, canvas = before
+
+
+def read_gif(data: bytes) -> tuple[list[Frame], list[np.ndarray], list[int]]:
+    """The frames as stored, the composed RGBA screens, and when each is shown (1/100 s)."""
+    found = [(frame, canvas.copy(), now) for frame, _, canvas, now in composed(data)]
+    return [f for f, *_ in found], [c for _, c, _ in found], [t for *_, t in found]
+
+
+def brightness(canvas: np.ndarray) -> np.ndarray:
+    """Opaque pixels of an RGBA screen by the sum of their channels, in EDGES bins."""
+    level = canvas[..., :3].sum(axis=2, dtype=np.int64) * EDGES // 766
+    return np.bincount(level[canvas[..., 3] > 0], minlength=EDGES)
 
 
 GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 HEADER = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + GREYS
-CONTROL = b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, DELAY, 0, 0)
-IMAGE = b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
 
 
 def _chunked(body: bytes) -> bytes:
     return b"".join(bytes([len(body[i : i + 255])]) + body[i : i + 255] for i in range(0, len(body), 255)) + b"\0"
 
 
-def write_gif(payload: bytes) -> bytes:
-    """A grey GIF of 24 x 24 frames whose LZW streams compress; the payload is whole frames."""
-    parts = [HEADER]
-    for i in range(0, len(payload), UNIT):
-        parts += [CONTROL, IMAGE, _chunked(lzw_encode(payload[i : i + UNIT]))]
-    return b"".join([*parts, b"\x3b"])
-
-
-def _literal_layout() -> tuple[np.ndarray, np.ndarray, int]:
-    """Codes of a frame with the pixels left 0, where those stand, and the stream's bytes."""
-    codes, where = [256], []
-    for i in range(UNIT):
-        if i and i % RUN == 0:
-            codes.append(256)
-        where.append(len(codes))
-        codes.append(0)
-    codes.append(257)
-    return np.array(codes), np.array(where), (9 * len(codes) + 7) // 8
+def _image(screen: np.ndarray, before: np.ndarray | None) -> bytes:
+    """The control block and image that turn the screen before into this one.
 
+    The image covers what differs; unchanged pixels inside are transparent where they are half of
+    it or more and SAME is free. The screen stays as it is (disposal 1).
+    """
+    top, left, new, clear = 0, 0, screen, None
+    if before is not None:
+        differs = screen != before
+        rows, columns = np.flatnonzero(differs.any(axis=1)), np.flatnonzero(differs.any(axis=0))
+        top, bottom = (rows[0], rows[-1] + 1) if len(rows) else (0, 1)
+        left, right = (columns[0], columns[-1] + 1) if len(columns) else (0, 1)
+        new, differs = screen[top:bottom, left:right], differs[top:bottom, left:right]
+        if 2 * np.count_nonzero(differs) <= differs.size and not (new == SAME).any():
+            new, clear = np.where(differs, new, SAME), SAME
+    control = struct.pack("<BHBB", 1 << 2 | (clear is not None), DELAY, clear or 0, 0)
+    head = struct.pack("<HHHHB", left, top, new.shape[1], new.shape[0], 0)
+    return b"\x21\xf9\x04" + control + b"\x2c" + head + b"\x08" + _chunked(lzw_encode(new.astype(np.uint8).tobytes()))
 
-def frames_of(payloads: np.ndarray) -> np.ndarray:
-    """(n, 576) samples to (n, bytes): each row a frame's control, image head and LZW blocks.
 
-    The streams hold literal codes of 9 bits with a clear code every RUN, so all frames have the
-    same layout and a batch is packed at once.
-    """
-    codes, where, size = _literal_layout()
-    n = len(payloads)
-    table = np.broadcast_to(codes, (n, len(codes))).copy()
-    table[:, where] = payloads
-    spread = -len(codes) % 8
-    table = np.pad(table, ((0, 0), (0, spread))).reshape(n, -1, 8).astype(np.uint16)
-    packed = np.zeros((n, table.shape[1], 9), np.uint8)
-    for k in range(8):  # code k of eight begins at bit 9 * k
-        value = table[:, :, k] << k
-        packed[:, :, k] |= (value & 255).astype(np.uint8)
-        packed[:, :, k + 1] |= (value >> 8).astype(np.uint8)
-    body = packed.reshape(n, -1)[:, :size]
-    head = np.frombuffer(CONTROL + IMAGE, np.uint8)
-    pieces = [np.broadcast_to(head, (n, len(head)))]
-    for i in range(0, size, 255):
-        piece = body[:, i : i + 255]
-        pieces += [np.full((n, 1), piece.shape[1], np.uint8), piece]
-    return np.concatenate([*pieces, np.zeros((n, 1), np.uint8)], axis=1)
-
-
-def decoded_frames(bodies: list[bytes]) -> np.ndarray:
-    """(n, 576) samples of the LZW streams of n frames.
-
-    Streams of one length are unpacked together as 9-bit codes; a stream for which that reading
-    holds (clear and end codes where expected, all others literal) is decoded by it, any other
-    by lzw_decode().
-    """
-    codes, where, size = _literal_layout()
-    out = np.empty((len(bodies), UNIT), np.uint8)
-    fixed = np.ones(len(codes), bool)
-    fixed[where] = False
-    plain = [i for i, b in enumerate(bodies) if len(b) == size]
-    rest = set(range(len(bodies))) - set(plain)
-    if plain:
-        data = np.frombuffer(b"".join(bodies[i] for i in plain), np.uint8).reshape(len(plain), size)
-        data = np.pad(data, ((0, 0), (0, -size % 9))).reshape(len(plain), -1, 9).astype(np.uint16)
-        table = np.empty((len(plain), data.shape[1], 8), np.uint16)
-        for k in range(8):
-            table[:, :, k] = ((data[:, :, k] | data[:, :, k + 1] << 8) >> k) & 511
-        table = table.reshape(len(plain), -1)[:, : len(codes)]
-        good = (table[:, fixed] == codes[fixed]).all(axis=1) & (table[:, where] < 256).all(axis=1)
-        out[plain] = table[:, where]
-        rest |= {plain[i] for i in np.flatnonzero(~good)}
-    for i in rest:
-        raw = np.frombuffer(lzw_decode(bodies[i], 8), np.uint8)[:UNIT]
-        if len(raw) < UNIT:
-            raise ValueError("an image without all its pixels")
-        out[i] = raw
-    return out
+def write_gif(payload: bytes) -> bytes:
+    """A grey GIF of 24 x 24 screens, each with 576 bytes of the payload, which is whole screens."""
+    parts, before = [HEADER], None
+    for screen in np.frombuffer(payload, np.uint8).reshape(-1, SIDE, SIDE):
+        parts.append(_image(screen, before))
+        before = screen
+    return b"".join([*parts, b"\x3b"])
 
 
 def media_of(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,16 +299,9 @@ def media_of(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 256):
+            for batch in slices(whole, 64):
                 raw = [text_bytes(t) for t in batch.column("text").to_pylist()]
-                padded = [b + b"\xff" * (-len(b) % UNIT if b else UNIT) for b in raw]
-                samples = np.frombuffer(b"".join(padded), np.uint8).reshape(-1, UNIT)
-                coded = frames_of(samples)
-                files, at = [], 0
-                for p in padded:
-                    n = len(p) // UNIT
-                    files.append(HEADER + coded[at : at + n].tobytes() + b"\x3b")
-                    at += n
+                files = [write_gif(b + b"\xff" * (-len(b) % UNIT if b else UNIT)) for b in raw]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array([len(b) for b in raw], pa.int64()), pa.array(files, pa.binary())],
                     names=["id", "n_bytes", "gif"],
@@ -346,88 +314,77 @@ def media_of(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 #: What a damaged file may raise.
 UNREADABLE = (ValueError, IndexError, struct.error, TypeError, OverflowError, MemoryError)
+#: Columns of the frames of a file: when and how long each is shown (1/100 s), its place, how it
+#: leaves the screen, and its screen's histogram.
+FRAME = ("shown_at", "delay", "left", "top", "width", "height", "disposal")
 FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
-    " media_sha256 string, feature string, n_frames int, duration int, histogram array<long>, error string"
+    " media_sha256 string, feature string, n_frames int, duration int, histogram array<long>,"
+    f" frames array<struct<{', '.join(f'{c}: int' for c in FRAME)}, histogram: array<int>>>, error string"
 )
 
 
+def described(data: bytes) -> tuple[dict, np.ndarray]:
+    """The features of one file, and a row of FRAME and histogram numbers for each frame."""
+    payload, rows = [], []
+    for f, shown, canvas, now in composed(data):
+        payload.append(shown.tobytes())
+        rows.append([now, f.delay, f.left, f.top, f.width, f.height, f.disposal, *brightness(canvas)])
+    if not rows:
+        raise ValueError("no image")
+    if rows[-1][0] + rows[-1][1] >= 1 << 31:
+        raise ValueError("too long a time")
+    table = np.array(rows, np.int64)
+    bins, duration, whole = table[:, len(FRAME) :].sum(axis=0), int(table[:, 1].sum()), b"".join(payload)
+    return {
+        "payload_bytes": len(whole), "payload_sha256": hashlib.sha256(whole).hexdigest(), "tail_crc32": zlib.crc32(whole[-32:]),
+        "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "n_frames": len(rows), "duration": duration,
+        "histogram": bins.tolist(), "feature": f"frames={len(rows)};duration={duration};bins=" + ",".join(map(str, bins)),
+    }, table
+
+
+def _frame_lists(tables: list[np.ndarray | None]) -> pa.Array:
+    """The frames column; a file without features has null."""
+    sizes = [0 if t is None else len(t) for t in tables]
+    flat = np.concatenate([np.zeros((0, len(FRAME) + EDGES), np.int64), *[t for t in tables if t is not None]]).astype(np.int32)
+    bins = pa.ListArray.from_arrays(pa.array(np.arange(0, EDGES * len(flat) + 1, EDGES, dtype=np.int32)), pa.array(flat[:, len(FRAME) :].ravel()))
+    rows = pa.StructArray.from_arrays([*[pa.array(flat[:, i]) for i in range(len(FRAME))], bins], names=[*FRAME, "histogram"])
+    ends = np.cumsum([0, *sizes]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), rows, mask=pa.array([t is None for t in tables], pa.bool_()))
+
+
 def features_of(media: DataFrame) -> DataFrame:
-    """Reads GIFs, such as those of media_of(): samples, digests, frame times and colour histogram.
+    """Reads GIFs (id, n_bytes, gif), such as those of media_of(): samples, digests, timed frames, histograms.
 
-    payload: the palette indices of all frames as stored. histogram: opaque pixels by brightness in
-    EDGES bins over the composed screens. feature: frames, duration in 1/100 s and the histogram.
-    Files in the layout of media_of() are decoded together, others each by read_gif(). A file that
-    cannot be decoded whole has an error and null features.
+    payload: the palette indices that each composed screen shows, screen by screen. histogram:
+    opaque pixels of the composed screens by brightness in EDGES bins, of each frame and together.
+    feature: frames, duration in 1/100 s and the histogram. A file that cannot be decoded whole, a
+    null one and one without an image have an error and null features. Repeated rows and an empty
+    table need no rule; other columns are not read.
     """
 
-    def described(row: dict, payload: bytes, bins: np.ndarray) -> dict:
-        return row | {
-            "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
-            "tail_crc32": zlib.crc32(payload[-32:]), "histogram": bins.tolist(),
-            "feature": f"frames={row['n_frames']};duration={row['duration']};bins=" + ",".join(map(str, bins)),
-        }
-
-    def composed(row: dict, data: bytes) -> dict:
-        frames, screens, _ = read_gif(data)
-        bins = np.zeros(EDGES, np.int64)
-        for screen in screens:
-            level = screen[..., :3].sum(axis=2, dtype=np.int64) * EDGES // 766
-            bins += np.bincount(level[screen[..., 3] > 0], minlength=EDGES)
-        return described(row, b"".join(f.pixels.tobytes() for f in frames), bins)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
-             ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
-             ("n_frames", pa.int32()), ("duration", pa.int32()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())]
-        )
+        plain = [
+            ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
+            ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int32()), ("duration", pa.int32()), ("histogram", pa.list_(pa.int64())),
+        ]
         for whole in batches:
-            for batch in slices(whole, 256):
-                rows = []
-                for ident, n_bytes, data in zip(*(batch.column(c).to_pylist() for c in ("id", "n_bytes", "gif"))):
-                    row = dict.fromkeys(schema.names) | {"doc_id": ident, "n_bytes": n_bytes}
+            for batch in slices(whole, 64):
+                rows, tables = [], []
+                for data in batch.column("gif").to_pylist():
                     try:
-                        width, height, parsed = parse_gif(data)
-                        if not parsed:
-                            raise ValueError("no image")
-                        facts = {
-                            "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "n_frames": len(parsed),
-                            "duration": sum(f.delay for f, _, _ in parsed),
-                        }
-                        if any(
-                            f.pixels.shape != (SIDE, SIDE) or f.left or f.top or f.transparent is not None or least != 8
-                            or f.palette is not parsed[0][0].palette or len(f.palette) != 256 for f, _, least in parsed
-                        ) or (width, height) != (SIDE, SIDE):
-                            rows.append((composed(row | facts, data), None, None))
-                            continue
+                        row, table = described(data)
                     except UNREADABLE as e:
-                        rows.append((row | {"error": str(e) or type(e).__name__}, None, None))
-                        continue
-                    own = [b for _, b, _ in parsed]
-                    rows.append((row | facts, parsed[0][0].palette, own))
-                try:
-                    samples, at = decoded_frames([b for _, _, own in rows for b in own or ()]), 0
-                except UNREADABLE:
-                    samples = None  # one of them is damaged: each file by itself
-                out = []
-                for row, palette, own in rows:
-                    if own:
-                        try:
-                            if samples is None:
-                                payload = decoded_frames(own).tobytes()
-                            else:
-                                payload = samples[at : at + len(own)].tobytes()
-                                at += len(own)
-                            level = palette.astype(np.int64).sum(axis=1) * EDGES // 766
-                            counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
-                            row = described(row, payload, np.bincount(level, weights=counts, minlength=EDGES).astype(np.int64))
-                        except UNREADABLE as e:
-                            row = dict.fromkeys(row) | {"doc_id": row["doc_id"], "n_bytes": row["n_bytes"], "error": str(e) or type(e).__name__}
-                    out.append(row)
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    return media.mapInArrow(run, FEATURES)
+                        row, table = {"error": str(e) or type(e).__name__}, None
+                    rows.append(row)
+                    tables.append(table)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), batch.column("n_bytes"), *[pa.array([r.get(c) for r in rows], kind) for c, kind in plain],
+                     _frame_lists(tables), pa.array([r.get("error") for r in rows], pa.string())],
+                    names=["doc_id", "n_bytes", *[c for c, _ in plain], "frames", "error"],
+                )
+
+    return media.select("id", "n_bytes", "gif").mapInArrow(run, FEATURES)
 
 
 def frames_table(media: DataFrame) -> DataFrame:

@@ -61,8 +61,8 @@ def test_lzw_round_trip(n):
 
 def test_disposal_transparency_and_times():
     payload = bytes(r % 256 for r in range(576 * 2))
-    frames, screens, times = media_gif.read_gif(media_gif.write_gif(payload))
-    assert b"".join(f.pixels.tobytes() for f in frames) == payload and times == [0, 4]
+    _, screens, times = media_gif.read_gif(media_gif.write_gif(payload))
+    assert b"".join(s[..., 0].tobytes() for s in screens) == payload and times == [0, 4]
     assert tuple(screens[1][0, 0]) == (payload[576],) * 3 + (255,)
     palette = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
     head = b"GIF89a" + bytes([2, 0, 1, 0, 0x81, 0, 0]) + palette
@@ -79,6 +79,19 @@ def test_disposal_transparency_and_times():
     assert shown == [[red, red], [red, green], [blue, none], [green, none]] and times == [0, 7, 14, 21]
 
 
+def test_stored_frames_use_the_format():
+    r = random.Random(2)
+    first = bytes(r.randrange(32, 96) for _ in range(576))
+    second = first[:50] + b"x" + first[51:70] + b"yy" + first[72:]  # a few pixels change
+    for payload in (first + second + second + bytes(576) + b"\xfe" * 576 + bytes(575) + b"\xfe", b"ab ab ab " * 128):
+        data = media_gif.write_gif(payload)
+        parsed = media_gif.parse_gif(data)[2]
+        assert b"".join(shown.tobytes() for _, shown, _, _ in media_gif.composed(data)) == payload
+    assert all(len(body) < 300 for _, body, _ in parsed)  # so dictionary codes, not literal ones of 9 bits
+    frames = [f for f, _, _ in media_gif.parse_gif(media_gif.write_gif(first + second + second))[2]]
+    assert [(f.left, f.top, f.width, f.height, f.transparent) for f in frames] == [(0, 0, 24, 24, None), (2, 2, 22, 1, 254), (0, 0, 1, 1, 254)]
+
+
 def test_texts_come_back(spark, odd):
     rows = {(r.doc_id, r.n_bytes): r for r in media_gif.stored_texts(odd).collect()}
     for i, t in enumerate(HARD):
@@ -87,6 +100,14 @@ def test_texts_come_back(spark, odd):
         r = rows[(i, len(raw))]
         assert r.payload_sha256 == hashlib.sha256(whole).hexdigest() and r.tail_crc32 == zlib.crc32(whole[-32:])
         assert r.payload_bytes == len(whole) and sum(r.histogram) == len(whole) and r.error is None
+        # The feature by brute force: grey levels of the payload, and frames at even times.
+        level = Counter(3 * b * 8 // 766 for b in whole)
+        bins = [level[k] for k in range(8)]
+        assert r.feature == f"frames={len(whole) // 576};duration={len(whole) // 144};bins=" + ",".join(map(str, bins))
+        assert [f.shown_at for f in r.frames] == list(range(0, len(whole) // 144, 4))
+        for k, f in enumerate(r.frames[:50]):
+            level = Counter(3 * b * 8 // 766 for b in whole[576 * k : 576 * (k + 1)])
+            assert list(f.histogram) == [level[x] for x in range(8)]
 
 
 def test_damaged_media_has_an_error(spark):
@@ -99,11 +120,13 @@ def test_ordinary_gifs_are_read(spark):
     image = lambda pixels: bytes([0x21, 0xF9, 4, 5, 7, 0, 0, 0, 0x2C, 0, 0, 0, 0, 2, 0, 1, 0, 0, 2, len(b := media_gif.lzw_encode(bytes(pixels), 2))]) + b + b"\0"
     small = head + image([1, 1]) + image([0, 3]) + b"\x3b"
     whole = media_gif.write_gif(bytes(576))
-    short = media_gif.HEADER + media_gif.CONTROL + media_gif.IMAGE + media_gif._chunked(media_gif.lzw_encode(bytes(9))) + b"\x3b"
-    df = spark.createDataFrame([(1, 0, small), (2, 0, short), (3, 0, whole)], "id long, n_bytes long, gif binary").coalesce(1)
-    one, two, three = media_gif.features_of(df).orderBy("doc_id").collect()
+    short = whole[: whole.index(b"\x08", len(media_gif.HEADER) + 8) + 1] + media_gif._chunked(media_gif.lzw_encode(bytes(9))) + b"\x3b"
+    bad = whole[:-4] + b"\xff\xff\0\x3b"
+    df = spark.createDataFrame([(1, 0, small), (2, 0, short), (3, 0, whole), (4, 0, bad), (5, 0, None), (3, 0, whole)], "id long, n_bytes long, gif binary").coalesce(1)
+    one, two, three, again, four, five = media_gif.features_of(df).orderBy("doc_id").collect()
     assert (one.n_frames, one.duration, one.histogram, one.error) == (2, 14, [0, 0, 3, 0, 0, 0, 0, 1], None)
-    assert one.payload_sha256 == hashlib.sha256(bytes([1, 1, 0, 3])).hexdigest()
+    assert one.payload_sha256 == hashlib.sha256(bytes([1, 1, 1, 3])).hexdigest()
+    assert three == again and four.error and five.error and five.frames is None and media_gif.features_of(df.limit(0)).count() == 0
     assert two.error and two.feature is None and three.error is None and three.payload_bytes == 576
     shown = media_gif.frames_table(df).where("id < 3").orderBy("id", "frame").collect()
     red, white = bytes([255, 0, 0, 255]), b"\xff" * 4

@@ -48,7 +48,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken", "source", "copies"
+        "doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies"
     )
 
 

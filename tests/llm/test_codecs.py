@@ -227,6 +227,26 @@ def test_targets_and_mix(spark, odd):
     assert mixing.take_copies(df).count() == sum(r.copies for r in rows)
 
 
+def test_rates_solve_the_dual(spark):
+    r = random.Random(9)
+    rows = [(i, "w " * r.choice((0, 1, 5, 40, 200, 900)), r.choice(("a", "a", "a", "b", "c", None))) for i in range(600)]
+    rows += [(i, "w " * 30, "tiny") for i in range(600, 604)]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in ("a", "b", "c", None, "tiny"):
+        mine = [x for x in out if x.source == source]
+        goal, total = mine[0].target, sum(x["size"] for x in mine)
+        unit = total / sum(x["size"] > 0 for x in mine)
+        mass = lambda m: sum(x["size"] * min(3.0, math.exp(min(9.0, m * x["size"] / unit))) for x in mine)
+        low, high = -2000.0, 2000.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if mass(middle) < goal else (low, middle)
+        for x in mine:
+            assert x.rate == pytest.approx(1.0 if not x["size"] else min(3.0, math.exp(min(9.0, low * x["size"] / unit))), abs=1e-5)
+            assert abs(x.copies - x.rate) < 1 + 1e-6 and x.taken == x.copies * x["size"]
+    assert len({round(x.rate, 3) for x in out if x.source == "a"}) > 3  # documents of a source differ
+
+
 def test_copies_of_repeated_rows(spark):
     rows = [(1, "a b", "x")] * 1000 + [(1, "a b", "y")] * 1000 + [(2, "c d", "y")] * 7 + [(i, "e f", None) for i in range(10, 50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
@@ -234,6 +254,21 @@ def test_copies_of_repeated_rows(spark):
     for r in mixing.mixed(df).collect():
         said[r.doc_id, r.source] += r.copies
     assert taken == +said and any(n % 1000 for (i, _), n in said.items() if i == 1)
+    # One text in two sources, ties, null ids and clashing names, and rows beyond a chunk.
+    odd_rows = [(None, "a b", "x", 1)] * 3 + [(None, None, None, 2)] * 2 + [(7, "", "z", 3), (8, "p q r", "x", 4), (8, "p q r", "y", 5)] * 2
+    odd_df = spark.createDataFrame(odd_rows, "doc_id long, text string, source string, mark long").selectExpr("*", "mark AS `a.b`", "mark AS rows", "mark AS number")
+    out = mixing.mixed(odd_df)
+    assert out.count() == len(odd_rows) and mixing.take_copies(odd_df).columns == odd_df.columns
+    assert mixing.take_copies(odd_df).count() == sum(r.copies for r in out.collect())
+    assert mixing.take_copies(odd_df.limit(0)).count() == 0
+
+
+def test_many_equal_rows_are_laid_out_in_chunks(spark, monkeypatch):
+    rows = [(1, "a b", "x")] * 1000 + [(2, "c d e", "x")] * 10
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = sorted(mixing.mixed(df).collect())
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    assert sorted(mixing.mixed(df).collect()) == whole and len(whole) == 1010
 
 
 def test_url_rules(spark):

@@ -14,12 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 
 #: Longest context, in characters.
 ORDER = 4
 #: Log ratios are added as whole numbers of this part of one, so that the order does not matter.
 UNIT = 1e-9
+#: Rows of window values that are broadcast; beyond them a join with SALTS parts of each is used.
+BROADCAST_ROWS, SALTS = 100_000, 16
 #: Weight of the shorter context's estimate, in observations; characters of the base alphabet.
 PRIOR, ALPHABET = 2.0, 96.0
 
@@ -61,21 +63,24 @@ def matched(host: Column, path: Column, rules: list[Rule]) -> Column:
     return empty if out is None else out.otherwise(empty)
 
 
+def _characters(text: Column) -> Column:
+    """The characters of a text, so that pieces are cut without walking through it each time."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), 0)
+
+
 def _grams(text: Column, longest: int) -> Column:
     """All substrings of up to `longest` characters that end at each character of text."""
-    ends = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.flatten(
-        F.transform(
-            ends,
-            lambda e: F.transform(
-                F.sequence(F.lit(1), F.least(e, F.lit(longest))), lambda n: F.substring(text, e - n + 1, n)
-            ),
-        )
+    ends = lambda c: F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1)))
+    piece = lambda c, e, n: F.array_join(F.slice(c, e - n + 1, n), "")
+    return let(
+        _characters(text),
+        lambda c: F.flatten(F.transform(ends(c), lambda e: F.transform(F.sequence(F.lit(1), F.least(e, F.lit(longest))), lambda n: piece(c, e, n)))),
     )
 
 
 def _model(urls: DataFrame) -> DataFrame:
-    """gram and v, the log ratio of the two models' estimates in UNITs, for every n-gram seen.
+    """gram, yes and no: the log-likelihoods, in UNITs, that the models of accepted and of rejected URLs
+    give the last character of every n-gram seen after the others.
 
     urls: text, accepted. An n-gram's estimate in a model is (its count + PRIOR * the estimate of
     the n-gram without its first character) / (count of its context + PRIOR), so longer contexts
@@ -128,29 +133,54 @@ def _model(urls: DataFrame) -> DataFrame:
     ratios = levels[0]
     for level in levels[1:]:
         ratios = ratios.union(level)
-    return ratios.select("gram", F.round((F.log("p_yes") - F.log("p_no")) / UNIT).cast("long").alias("v"))
+    return ratios.select("gram", *[F.round(F.log(f"p_{m}") / UNIT).cast("long").alias(m) for m in ("yes", "no")])
 
 
 def _windows(text: Column) -> Column:
     """For each character of text, the up to ORDER + 1 characters that end there."""
-    ends = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.transform(ends, lambda e: F.substring(text, F.greatest(e - ORDER, F.lit(1)), F.least(e, F.lit(ORDER + 1))))
+    piece = lambda c, e: F.array_join(F.slice(c, F.greatest(e - ORDER, F.lit(1)), F.least(e, F.lit(ORDER + 1))), "")
+    return let(_characters(text), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1))), lambda e: piece(c, e)))
+
+
+def _values(windows: DataFrame, model: DataFrame) -> DataFrame:
+    """window, yes, no: the estimates of the longest ending of each distinct window that the model has.
+
+    Endings of each length take the model's value or else that of the ending one shorter, from the
+    shortest on; so no key of a join stands for more rows than there are characters. Windows
+    without any known ending have 0.
+    """
+    known = None
+    for n in range(1, ORDER + 2):
+        endings = windows.where(F.length("window") >= n).select(F.expr(f"substring(window, -{n}, {n})").alias("gram")).distinct()
+        found = endings.join(model, "gram", "left")
+        if known is None:
+            shorter = found.select(F.col("gram").alias("window"), *[F.coalesce(m, F.lit(0)).alias(m) for m in ("yes", "no")])
+        else:
+            below = shorter.select(F.col("window").alias("short"), F.col("yes").alias("s_yes"), F.col("no").alias("s_no"))
+            joined = found.withColumn("short", F.expr(f"substring(gram, 2, {n - 1})")).join(below, "short", "left")
+            shorter = joined.select(F.col("gram").alias("window"), *[F.coalesce(m, f"s_{m}", F.lit(0)).alias(m) for m in ("yes", "no")])
+        shorter = cut(shorter)
+        known = shorter if known is None else known.union(shorter)
+    return known.join(windows, "window", "left_semi")
 
 
 def _scores(texts: DataFrame, model: DataFrame) -> DataFrame:
-    """text and x, the mean over its characters of the log ratio under the longest context known.
+    """text and x, by character how much likelier the model of accepted URLs holds the text.
 
-    texts: distinct, in `text`. Each distinct window takes the value of its longest ending that
-    the model has, 0 if it has none; so an n-gram that was not seen backs off.
+    texts: distinct, in `text`. Each character counts with the estimates of the longest context
+    known; so an n-gram that was not seen backs off. A window that is in most texts is no hot key:
+    few windows are broadcast, and of many each stands in SALTS copies.
     """
     parts = texts.where("text <> ''").select("text", F.explode(_windows(F.col("text"))).alias("window"))
-    endings = parts.select("window").distinct().select(
-        "window", F.explode(F.transform(F.sequence(F.lit(1), F.length("window")), lambda n: F.substring(F.col("window"), -n, n))).alias("gram")
-    )
-    known = endings.join(model, "gram").groupBy("window").agg(F.max(F.struct(F.length("gram").alias("n"), "v"))["v"].alias("v"))
+    windows = cut(parts.select("window").distinct())
+    known = _values(windows, model).select("window", (F.col("yes") - F.col("no")).alias("v"))
+    if windows.count() <= BROADCAST_ROWS:
+        joined = parts.join(F.broadcast(known), "window", "left")  # at most BROADCAST_ROWS rows
+    else:
+        copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = parts.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(copies, ["window", "salt"], "left")
     return (
-        parts.join(known, "window", "left")
-        .groupBy("text")
+        joined.groupBy("text")
         .agg(F.sum(F.coalesce("v", F.lit(0))).alias("sum"))
         .select("text", (F.col("sum") * UNIT / F.length("text")).alias("x"))
     )
@@ -166,8 +196,8 @@ def judged_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
     read; an empty table gives an empty result. One labelled URL in four (by hash) is held back
     from the models to calibrate the threshold.
     """
-    url = F.col(url_col).cast("string")
-    split = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    url = F.col(f"`{url_col}`").cast("string")
+    split = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     ruled = split.withColumn("m", matched(F.col("host"), F.col("path"), rules)).select(
         "page_id",
         "host",

@@ -281,15 +281,71 @@ def test_url_rules(spark):
     assert url_filter.judged_urls(df.limit(0), rules).count() == 0
 
 
-def test_url_scores_by_brute_force(spark):
+def markov(seen, order=4, prior=2.0, alphabet=96.0):
+    """The two smoothed models again: gram -> (log p accepted, log p rejected)."""
+    counts = Counter((t[max(0, e - n) : e], ok) for t, ok in seen for e in range(1, len(t) + 1) for n in range(1, min(e, order + 1) + 1))
+    total = {ok: sum(c for (g, k), c in counts.items() if k == ok and len(g) == 1) for ok in (True, False)}
+    p = {}
+    for gram in sorted({g for g, _ in counts}, key=len):
+        for ok in (True, False):
+            if len(gram) == 1:
+                p[gram, ok] = (counts[gram, ok] + prior / alphabet) / (total[ok] + prior)
+            else:
+                p[gram, ok] = (counts[gram, ok] + prior * p[gram[1:], ok]) / (counts[gram[:-1], ok] + prior)
+    return {g: (math.log(p[g, True]), math.log(p[g, False])) for g, _ in counts}
+
+
+def ratio(text, model):
+    total = 0.0
+    for e in range(1, len(text) + 1):
+        gram = next((text[e - n : e] for n in range(min(e, 5), 0, -1) if text[e - n : e] in model), None)
+        total += model[gram][0] - model[gram][1] if gram else 0.0
+    return total / len(text) if text else 0.0
+
+
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_url_scores_by_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", broadcast)
     r = random.Random(3)
-    name = lambda letters: "".join(r.choice(letters) for _ in range(24))
-    seen = [(name("abcdefghijklmnopqrst"), True) for _ in range(1500)] + [(name("ghijklmnopqrstuvwxyz"), False) for _ in range(1500)]
-    model = {m.gram: m.v for m in url_filter._model(spark.createDataFrame(seen, "text string, accepted boolean")).collect()}
-    grams = {t[max(0, e - n) : e] for t, _ in seen for e in range(1, 25) for n in range(1, 6)}
-    assert set(model) == grams and len(grams) > 1 << 15  # none is thrown away
-    texts = [name("abcdefghijklmnopqrstuvwxyz0") for _ in range(50)] + ["", "0", "日本", "g"]
-    got = {x.text: x.x for x in url_filter._scores(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(list(model.items()), "gram string, v long")).collect()}
-    for t in filter(None, texts):
-        longest = (next((model[t[e - n : e]] for n in range(min(e, 5), 0, -1) if t[e - n : e] in model), 0) for e in range(1, len(t) + 1))
-        assert got[t] == pytest.approx(sum(longest) * 1e-9 / len(t), abs=1e-12)
+    name = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 24)))
+    seen = [(name("abcdefghijklmnopqrst"), True) for _ in range(1500)] + [(name("ghijklmnopqrstuvwxyz日😀"), False) for _ in range(1500)]
+    truth = markov(seen)
+    table = url_filter._model(spark.createDataFrame(seen, "text string, accepted boolean"))
+    model = {m.gram: (m.yes, m.no) for m in table.collect()}
+    assert set(model) == set(truth) and len(model) > 1 << 15  # none is thrown away
+    assert all(model[g] == tuple(pytest.approx(v / url_filter.UNIT, abs=2) for v in truth[g]) for g in r.sample(sorted(truth), 500))
+    texts = [name("abcdefghijklmnopqrstuvwxyz0") for _ in range(50)] + ["", "0", "日本", "g", "😀a😀", "ab" * 3000]
+    got = {x.text: x.x for x in url_filter._scores(spark.createDataFrame([(t,) for t in set(texts)], "text string"), table).collect()}
+    assert set(got) == set(texts) - {""}
+    for t in got:
+        assert got[t] == pytest.approx(ratio(t, truth), abs=1e-7)
+
+
+def test_url_verdicts_by_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    rules = [url_filter.Rule("com/en/", "block"), url_filter.Rule("example.com/en/7", "allow"), url_filter.Rule("net/de/", "allow")]
+    rows = url_filter.judged_urls(pages, rules).collect()
+    part = {r.text: r.part for r in spark.createDataFrame([(r.host + r.path,) for r in rows], "text string").selectExpr("text", "pmod(xxhash64(text), 4) AS part").collect()}
+    said = {p: v for p, v in ((x.pattern, x.verdict) for x in rules)}
+    labelled = [(r.host + r.path, said[r.rule] == "allow") for r in rows if r.rule]
+    model = markov([(t, ok) for t, ok in labelled if part[t]])
+    mean, spread = {}, {}
+    for ok in (True, False):
+        x = [ratio(t, model) for t, k in labelled if k == ok and not part[t]]
+        mean[ok] = sum(x) / len(x)
+        spread[ok] = math.sqrt(sum((v - mean[ok]) ** 2 for v in x) / len(x))
+    cutoff = (mean[True] * spread[False] + mean[False] * spread[True]) / (spread[True] + spread[False])
+    for r in rows:
+        x = ratio(r.host + r.path, model)
+        assert r.score == pytest.approx(x, abs=1e-7)
+        if r.rule or abs(x - cutoff) > 1e-6:
+            assert r.verdict == (said[r.rule] if r.rule else "allow" if x >= cutoff else "block")
+
+
+def test_url_tables_of_one_kind_and_odd_urls(spark):
+    urls = ["http://a.com/en/" + "é" * 5000, None, "http://b.org/x", "http://b.org/x", "", "no scheme", "://", "http://日本.com/en/1"]
+    df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id long, url string, score string").withColumn("a.b", F.lit(1))
+    blocked = {r.page_id: r for r in url_filter.judged_urls(df, [url_filter.Rule("com/en/", "block")]).collect()}
+    assert [blocked[i].verdict for i in range(8)] == ["block", *["allow"] * 6, "block"] and {r.score for r in blocked.values()} == {0.0}
+    assert {r.verdict for r in url_filter.judged_urls(df, []).collect()} == {"allow"}
+    assert blocked[2] == blocked[2] and url_filter.judged_urls(df.unionAll(df), []).count() == 16

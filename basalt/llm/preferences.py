@@ -22,14 +22,16 @@ def conversations_of(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str
     """id and turns, an array of (role, text) by turn number, then role and text.
 
     Null roles and texts count as empty, a null turn number comes first; rows without an id belong
-    to no conversation. One conversation is one value of the result, as one document is.
+    to no conversation; repeated rows are turns of their own. One conversation is one value of the
+    result, as one document is. Other columns are not read.
     """
-    clean = turns.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"),
+    ident, turn, role, text = (F.col(f"`{c}`") for c in (id_col, turn_col, role_col, text_col))
+    clean = turns.where(ident.isNotNull()).select(
+        ident.alias("id"),
         F.struct(
-            F.col(turn_col).alias("turn"),
-            F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
-            F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+            turn.alias("turn"),
+            F.coalesce(role.cast("string"), F.lit("")).alias("role"),
+            F.coalesce(text.cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     )
     ordered = F.array_sort(F.collect_list("t"))
@@ -47,6 +49,12 @@ def common_turns(a: Column, b: Column) -> Column:
     )
 
 
+def escaped(turns: Column) -> Column:
+    """turns in which no text or role holds a turn's mark: `<|` becomes `<\\|`, and `<\\` becomes `<\\\\`."""
+    safe = lambda c: F.regexp_replace(c, r"<([|\\])", r"<\\$1")
+    return F.transform(turns, lambda t: F.struct(safe(t["role"]).alias("role"), safe(t["text"]).alias("text")))
+
+
 def rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("\n"))), "")
 
@@ -66,23 +74,28 @@ def mask_of(turns: Column) -> Column:
 
 
 def formatted(pairs: DataFrame) -> DataFrame:
-    """chosen_id, rejected_id, prompt_turns, prompt, chosen, rejected and the masks.
+    """chosen_id, rejected_id, kind, prompt_turns, prompt, chosen, rejected and the masks.
 
-    pairs: chosen_id, rejected_id, a and b (arrays of turns). Where b is null, the conversation has
-    no partner: its prompt is all before its last run of assistant turns, and rejected is null.
+    pairs: chosen_id, rejected_id, a and b (arrays of turns). kind: `pair`; `prefix` where one
+    conversation goes on from the end of the other, whose completion is then empty; `identical`
+    where both completions are empty; `alone` where b is null: the prompt is then all before the
+    last run of assistant turns, and rejected is null. Marks inside texts are escaped().
     """
     last_other = lambda a: F.coalesce(
         F.array_max(F.transform(a, lambda t, i: F.when(t["role"] != ASSISTANT, i + 1))), F.lit(0)
     )
     n = F.when(F.col("b").isNull(), last_other(F.col("a"))).otherwise(common_turns(F.col("a"), F.col("b")))
-    cut_at = pairs.withColumn("n", n)
+    safe = [F.when(F.col(c).isNotNull(), escaped(F.col(c))).alias(c) for c in ("a", "b")]
+    cut_at = pairs.select("chosen_id", "rejected_id", *safe, n.alias("n"))
     rest = lambda c: F.slice(F.col(c), F.col("n") + 1, F.greatest(F.size(c), F.lit(0)))
     both = cut_at.select(
         "chosen_id", "rejected_id", F.col("n").alias("prompt_turns"),
         F.slice("a", F.lit(1), F.col("n")).alias("p"), rest("a").alias("c"), rest("b").alias("r"),
     )
+    empty = (F.size("c") == 0).cast("int") + (F.size("r") == 0).cast("int")
+    kind = F.when(F.col("r").isNull(), "alone").when(empty == 2, "identical").when(empty == 1, "prefix").otherwise("pair")
     return both.select(
-        "chosen_id", "rejected_id", "prompt_turns", rendered(F.col("p")).alias("prompt"),
+        "chosen_id", "rejected_id", kind.alias("kind"), "prompt_turns", rendered(F.col("p")).alias("prompt"),
         rendered(F.col("c")).alias("chosen"), mask_of(F.col("c")).alias("chosen_mask"),
         rendered(F.col("r")).alias("rejected"), mask_of(F.col("r")).alias("rejected_mask"),
     )
@@ -160,7 +173,10 @@ def paired(conversations: DataFrame) -> DataFrame:
     )
     a = conversations.select(F.col("id").alias("chosen_id"), F.col("turns").alias("a"))
     b = conversations.select(F.col("id").alias("rejected_id"), F.col("turns").alias("b"))
-    return chosen.join(a, "chosen_id").join(b, "rejected_id", "left")
+    chosen = cut(chosen)
+    alone = chosen.where("rejected_id is null").join(a, "chosen_id").withColumn("b", F.lit(None).cast(conversations.schema["turns"].dataType))
+    pairs = chosen.where("rejected_id is not null").join(a, "chosen_id").join(b, "rejected_id")
+    return pairs.select("chosen_id", "rejected_id", "a", "b").union(alone.select("chosen_id", "rejected_id", "a", "b"))
 
 
 def preferences(turns: DataFrame, **columns) -> DataFrame:

@@ -1,5 +1,7 @@
 """Learned operators by held-out accuracy, near duplicates by brute force, formats by hand."""
 
+import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -116,3 +118,43 @@ def test_partners_share_most_turns(spark):
     got = {tuple(sorted((r.chosen_id, r.rejected_id))): r.prompt_turns for r in rows}
     assert {k for k in got if k[0] < 3000} == {(i, i + 1) for i in range(2999)}
     assert got[5001, 5003] == 3 and got[5002, 5004] == 2 and len([k for k in got if k[0] > 5000]) == 3
+
+
+def render(turns):
+    mark = lambda x: re.sub(r"<([|\\])", r"<\\\1", x)
+    return "".join(f"<|{mark(r)}|>\n{mark(t)}\n" for r, t in turns)
+
+
+def test_preferences_by_brute_force(spark):
+    r = random.Random(4)
+    talks = {i: [(("user", "assistant")[k % 2], r.choice(("a", "b", "<|user|>", "<\\x"))) for k in range(r.randint(1, 5))] for i in range(300)}
+    rows = [(i, k, *turn, "clash") for i, turns in talks.items() for k, turn in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string").withColumn("a.b", F.lit(1)).repartition(7)
+    out = preferences.preferences(df).collect()
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    said = lambda t: sum(len(x) for role, x in t if role == "assistant")
+    seen = set()
+    for x in out:
+        a, b = talks[x.chosen_id], talks.get(x.rejected_id)
+        seen |= {x.chosen_id, x.rejected_id}
+        if b is None:
+            assert x.kind == "alone" and not any(o[0] == a[0] for i, o in talks.items() if i != x.chosen_id)
+            continue
+        n = common(a, b)
+        assert n and x.prompt_turns == n and (x.prompt, x.chosen, x.rejected) == (render(a[:n]), render(a[n:]), render(b[n:]))
+        assert x.kind == {0: "pair", 1: "prefix", 2: "identical"}[(n == len(a)) + (n == len(b))]
+        assert (said(a), -x.chosen_id) > (said(b), -x.rejected_id)
+        for mask, text in ((x.chosen_mask, x.chosen), (x.rejected_mask, x.rejected)):
+            assert sum(m.length for m in mask) == len(text)
+    assert seen - {None} == set(talks)
+    # Each has a partner that no other shares more turns with.
+    best = {i: max(common(t, o) for j, o in talks.items() if j != i) for i, t in talks.items()}
+    met = {i: max([x.prompt_turns for x in out if x.rejected_id is not None and i in (x.chosen_id, x.rejected_id)], default=0) for i in talks}
+    assert met == best
+
+
+def test_odd_conversations(spark):
+    rows = [(1, None, None, None), (1, 0, "user", "x" * 100_000), (2, 0, "user", "y"), (2, 0, "user", "y"), (3, 0, "user", "y"), (3, 0, "user", "y"), (3, 1, "assistant", "z")]
+    out = {x.chosen_id: x for x in preferences.preferences(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(out) == {1, 3} and out[1].kind == "alone" and out[1].prompt_turns == 2 and out[1].prompt.startswith("<||>\n\n<|user|>\nxx")
+    assert out[3].kind == "prefix" and out[3].rejected_id == 2 and out[3].prompt_turns == 2 and out[3].rejected == "" == out[3].rejected and not out[3].rejected_mask

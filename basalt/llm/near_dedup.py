@@ -32,6 +32,8 @@ U = np.uint64
 ROWS = 4
 #: Hubs of a bucket in the first round, and by how much they grow from round to round.
 HUBS, GROWTH = 4, 16
+#: Parts that a bucket is dealt into while its hubs are chosen.
+SALTS = 16
 #: Bits of the parity map of a set.
 BITS = 512
 EMPTY = np.iinfo(np.uint64).max
@@ -144,17 +146,30 @@ def _signatures(width: int, bands: int):
     return run
 
 
+def shingles(text: str | None, width: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves, as shingle_hashes() hashes them."""
+    words = text_bytes(text).lower().split()
+    span = min(width, len(words))
+    return set(zip(*(words[k:] for k in range(span)))) if words else set()
+
+
 def _verified(width: int, threshold_pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _begin()
         items = lru_cache(maxsize=64)(lambda text: shingle_hashes(text, width))
+        full = lru_cache(maxsize=4)(lambda text: shingles(text, width))
         for whole in batches:
             for batch in slices(whole, 256):
                 keep = []
                 for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
                     a, b = items(x), items(y)
                     common = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(100 * common >= threshold_pct * (len(a) + len(b) - common))
+                    linked = 100 * common >= threshold_pct * (len(a) + len(b) - common)
+                    if linked:  # confirmed on the shingles
+                        a, b = full(x), full(y)
+                        common = len(a & b)
+                        linked = 100 * common >= threshold_pct * (len(a) + len(b) - common)
+                    keep.append(linked)
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -226,15 +241,15 @@ def near_duplicates(
     distinct shingles of `width` words; component_id is the smallest id reachable. Null, empty
     and white-space-only texts have no shingles and are linked with nothing. Rows that repeat an
     id are one document, linked wherever one of their texts is. Rows with a null id are linked
-    with nothing, have a null component and are kept. Other columns are not read. An empty table
-    gives an empty result.
+    with nothing, have a null component and are kept. Ids are whole numbers. Other columns are not
+    read. An empty table gives an empty result.
 
-    Sets are compared through 64-bit shingle hashes: a wrong count needs a collision inside one
-    pair of sets. A pair at the threshold has no common band with odds below 1e-6, and less the
+    Equal sets are found by a 128-bit digest of their 64-bit shingle hashes; other links are found
+    by those hashes and confirmed on the shingles themselves. A pair at the threshold has no common band with odds below 1e-6, and less the
     more similar it is.
     """
     bands = bands_for(threshold_pct)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = cut(
         source.mapInArrow(_signatures(width, bands), "id long, n long, set_key binary, bands array<long>, odd array<long>")
     )
@@ -244,7 +259,9 @@ def near_duplicates(
         .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     )
     buckets = sets.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = (
+    # What is aggregated by a key is stored before it is joined by it: the join then deals both sides
+    # anew, so that Spark can split the rows of a hot key.
+    shared = cut(
         buckets.groupBy("bucket")
         .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("mates"))
         .where("low <> high")
@@ -282,7 +299,7 @@ def near_duplicates(
     tested, hubs = None, HUBS
     while True:
         now = cut(members.join(found, "node").join(facts, "node"))
-        apart = (
+        apart = cut(
             now.groupBy("bucket")
             .agg(F.min("component").alias("low"), F.max("component").alias("high"))
             .where("low <> high")
@@ -291,11 +308,16 @@ def near_duplicates(
         now = cut(now.join(apart, "bucket"))
         if now.isEmpty():
             break
-        sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        order = Window.partitionBy("bucket").orderBy("size", F.desc("rank_by"), "node", "n")
+        sizes = cut(now.groupBy("bucket", "component").agg(F.count("*").alias("size")))
+        order = ("size", F.desc("rank_by"), "node", "n")
+        each = Window.partitionBy("bucket", "salt").orderBy(*order)
+        whole = Window.partitionBy("bucket").orderBy(*order)
         chosen = cut(
             now.join(sizes, ["bucket", "component"])
-            .withColumn("rank", F.row_number().over(order))
+            .withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+            .withColumn("rank", F.row_number().over(each))
+            .where(F.col("rank") <= hubs)
+            .withColumn("rank", F.row_number().over(whole))
             .where(F.col("rank") <= hubs)
             .select(
                 "bucket",
@@ -333,7 +355,7 @@ def near_duplicates(
             "left_anti",
         )
         hubs *= GROWTH
-    classes = sets.select("set_key", "node").join(found, "node", "left")
+    classes = cut(sets.select("set_key", "node").join(found, "node", "left"))
     return (
         signed.join(classes, "set_key", "left")
         .select(
@@ -351,6 +373,7 @@ def keep_representatives(docs: DataFrame, **options) -> DataFrame:
 
     All columns stay. Rows with a null id stay; so do all rows that repeat a kept id.
     """
-    id_col = options.get("id_col", "doc_id")
-    dropped = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    ident = F.col(f"`{options.get('id_col', 'doc_id')}`").cast("long")
+    dropped = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("id"))
+    return rows.join(cut(dropped), "id", "left_anti").select("row.*")

@@ -93,7 +93,31 @@ def test_near_duplicates_odd_rows(spark):
     out = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect() if r.doc_id is not None)
     assert out == [(2, 2, True), (3, 2, False), (4, 4, True), (5, 4, False), (7, 7, True), (8, 8, True), (9, 4, False), (9, 4, False)]
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
-    assert near_dedup.keep_representatives(df).columns == df.columns
+    clash = df.selectExpr("*", "bucket AS `a.b`", "bucket AS node", "bucket AS id", "bucket AS row")
+    kept = near_dedup.keep_representatives(clash)
+    assert kept.columns == clash.columns and sorted(r[0] for r in kept.collect() if r[0]) == [2, 4, 7, 8]
+
+
+def test_near_duplicates_of_the_pipeline_by_brute_force(docs):
+    truth = brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
+    rows = near_dedup.near_duplicates(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == truth
+    kept = {r.doc_id for r in near_dedup.keep_representatives(docs).collect()}
+    assert kept == {i for i, (_, root) in truth.items() if i == root}
+
+
+def test_hot_buckets_and_long_texts(spark):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(f"x{i}" for i in range(60_000)))]  # a very long one
+    for i in range(2, 400):  # a family of near copies, of which some are too far apart, and exact copies
+        words = list(base)
+        for k in r.sample(range(400), r.choice((0, 1, 4, 20, 60))):
+            words[k] = f"y{i}-{k}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(df).collect()}
+    assert got == brute(rows, 5, 80)
 
 
 def test_preferences(spark):

@@ -247,6 +247,14 @@ def language_table(docs: DataFrame) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is predicted with probability `least` or more."""
-    marked = predicted(docs, learned(docs), lang="__lang", score="__score")
-    return marked.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs whose language is predicted with probability `least` or more.
+
+    Where no language can be learned (no label, or only held-out rows), texts with a letter stay.
+    docs' own columns only, whatever their names.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows, model = docs.select(row, F.col("text").cast("string").alias("text")), learned(docs)
+    if not model.langs:
+        return rows.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select("row.*")
+    marked = predicted(rows, model)
+    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

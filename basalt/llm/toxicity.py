@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick over folded text.
 
-Folding lower-cases, maps look-alike letters of other scripts to Latin ones and digits or signs
-inside words to the letters they stand for. The lexicon's stems match at word starts. Matches
+Folding lower-cases, takes marks off letters, drops characters without width, maps look-alike
+letters of other scripts to Latin ones and digits or signs inside words to the letters they stand
+for; letters set apart by blanks are read as a word too. The lexicon's stems match at word starts. Matches
 inside exception phrases don't count. The weights found, alone and for each word of the text, go
 through a logistic function.
 """
@@ -9,6 +10,8 @@ through a logistic function.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,6 +45,8 @@ class Folded(dict):
         if len(self) > 150_000:
             self.clear()
         text = word.decode("utf-8", "replace").lower().translate(HOMOGLYPHS)
+        if not text.isascii():  # marks on letters and characters without width
+            text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Cf")).translate(HOMOGLYPHS)
         core = text.strip(EDGES)
         if any(map(str.isalpha, core)):
             core = core.translate(DIGITS)
@@ -49,10 +54,19 @@ class Folded(dict):
         return core
 
 
+#: Three or more letters that stand alone.
+SPACED = re.compile(r"(?<= )(?:[^\W\d_] ){3,}")
+
+
 def folded_text(text: str | None, forms: Folded) -> tuple[str, int]:
-    """A blank before each folded word and one at the end; and the number of words."""
+    """A blank before each folded word and one at the end; and the number of words.
+
+    Letters that stand alone, three or more in a row, follow once more as one word.
+    """
     words = text_bytes(text).split()
-    return " " + " ".join(map(forms.__getitem__, words)) + " ", len(words)
+    line = " " + " ".join(map(forms.__getitem__, words)) + " "
+    spaced = [x.replace(" ", "") for x in SPACED.findall(line)]
+    return line + " ".join([*spaced, ""]) if spaced else line, len(words)
 
 
 @dataclass
@@ -76,15 +90,20 @@ class Lexicon:
 
 def hits(text: str, automaton) -> tuple[float, int]:
     """Sum of the weights matched outside exception phrases, the heaviest for each word; how many."""
-    found, free = {}, []
+    found, free, reach = {}, [], -1
     for end, (size, weight) in automaton.iter(text):
         start = end - size + 1
         if weight:
             found[start] = max(weight, found.get(start, 0.0))
         else:
             free.append((start, end))
-    for start, end in free:
-        found = {at: w for at, w in found.items() if not start <= at < end}
+    if free:  # one pass over both in order; reach: where the phrases begun so far end
+        free.sort(reverse=True)
+        for at in sorted(found):
+            while free and free[-1][0] <= at:
+                reach = max(reach, free.pop()[1])
+            if at < reach:
+                del found[at]
     return sum(found.values()), len(found)
 
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from basalt.llm import langid, near_dedup, preferences, quality_embed, toxicity
+from basalt.llm import langid, near_dedup, preferences, quality_embed, sampling, toxicity
 
 DIR = "/root/testdata/sf0.01"
 
@@ -53,6 +53,90 @@ def test_folding_and_exceptions():
     assert find("the idiot light") == (0, 0) and find("idiot lights")[1] == 1 and find(None) == (0, 0)
 
 
+def test_folding_marks_and_spaced_letters():
+    automaton, forms = toxicity.Lexicon({"idiot": 2.0}).automaton(), toxicity.Folded()
+    count = lambda t: toxicity.hits(toxicity.folded_text(t, forms)[0], automaton)[1]
+    assert count("i\u200bd\u00adiot") == 1 and count("ídîöt") == 1 and count("i\u0301diot") == 1 and count("so i d i o t !") == 1
+    assert count("i d") == 0 and count("a b c d") == 0 and count("i d i o t s i d i o t") == 1 and toxicity.folded_text("a b c d", forms)[1] == 4
+
+
+def test_exception_spans_by_brute_force():
+    r = random.Random(6)
+    lexicon = toxicity.Lexicon({"a": 1.0, "ab": 2.0, "c": 3.0}, {"a b", "b a b", "c c", "ab c a"})
+    automaton = lexicon.automaton()
+    for _ in range(500):
+        words = [r.choice(("a", "b", "c", "ab")) for _ in range(r.randint(0, 12))]
+        text = " " + " ".join(words) + " "
+        spans = [(k, k + len(p) + 1) for p in lexicon.exceptions for k in range(len(text)) if text.startswith(f" {p} ", k)]
+        starts = {k: max(w for s, w in lexicon.stems.items() if text.startswith(f" {s}", k)) for k in range(len(text)) if any(text.startswith(f" {s}", k) for s in lexicon.stems)}
+        free = {k: w for k, w in starts.items() if not any(a <= k < b for a, b in spans)}
+        assert toxicity.hits(text, automaton) == (sum(free.values()), len(free))
+
+
+ODD = [(1, None, None), (2, "", "en"), (3, " \n", "en"), (4, "x" * 300_000, "en"), (5, "the cat and the hat " * 20_000, "en"), (6, "日本 é \x00 \U0001f600", "ja"), (6, "other text", "en"), (None, "le la", None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = spark.createDataFrame([(*r, "clash") for r in ODD + ODD[4:6]], "doc_id long, text string, lang string, score string")
+    return rows.selectExpr("*", "score AS held_out", "score AS `a.b`", "score AS text_a", "score AS row")
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+SCORERS = {"quality": quality_embed.quality_scores, "toxic": toxicity.toxicity_scores}
+
+
+@pytest.mark.parametrize("name", sorted(SCORERS))
+def test_odd_texts_and_labels(spark, odd, name):
+    twice = [(i, i % 2, i % 2) for i in range(1, 30)] + [(4, 1, 1), (4, 0, 0), (None, 1, 1), (5, None, None)]
+    for labels in (labels_of(spark, twice), labels_of(spark, [(i, 1, 1) for i in range(30)]), labels_of(spark, [])):
+        out = SCORERS[name](odd, labels).collect()
+        assert len(out) == len(ODD) + 2 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out is not None for r in out)
+        assert len({r.score for r in out if r.doc_id in (1, 2, 3)}) == 1 and len({r.score for r in out if r.doc_id == 5}) == 1
+    assert SCORERS[name](odd.limit(0), labels_of(spark, twice)).count() == 0
+
+
+def test_odd_texts_of_languages(spark, docs, odd):
+    for table in (odd, odd.withColumn("lang", F.lit(None).cast("string")), odd.limit(0)):
+        out = langid.language_table(table).collect()
+        assert len(out) == table.count() and all((r.lang_pred == "und") == (r.score == 0) for r in out)
+        kept = langid.keep_languages(table)
+        assert kept.columns == table.columns and kept.count() <= len(out)
+    assert langid.keep_languages(odd.withColumn("lang", F.lit(None).cast("string"))).count() == len(ODD) + 2 - 3  # all with a letter
+
+
+def test_scores_by_brute_force(spark, docs, labels):
+    """What the tasks add up word by word is what the models say of whole texts."""
+    some = docs.where("doc_id % 9 = 0")
+    texts = {r.doc_id: r.text for r in some.collect()}
+    rows = [(t, i % 2) for i, t in texts.items()]
+    model = quality_embed.fit(rows, epochs=2)
+    for r in quality_embed.scored(some, model).collect():
+        assert r.score == pytest.approx(model.scores(texts[r.doc_id])[1], abs=1e-9)
+    speech = langid.fit([(r.text, r.lang) for r in some.collect()], *langid.frequencies(some))
+    assert 0.5 < (speech.weights == 0).mean() < 1  # sparse
+    for r in langid.predicted(some, speech).collect():
+        p = langid.softmax(speech.logits(r.text) / speech.temperature)
+        assert r.score == pytest.approx(p.max(), abs=1e-9) and r.lang_pred == speech.langs[int(p.argmax())]
+
+
+def test_frequencies_by_brute_force(docs):
+    df, n = langid.frequencies(docs.limit(50))
+    sets = [set().union(*(langid.grams_of(w).tolist() for w in langid.words_in(r.text)), set()) for r in docs.limit(50).collect()]
+    assert n == 50 and all(df[b] == sum(b in s for s in sets) for b in range(0, langid.BUCKETS, 7))
+
+
+def test_the_sample_is_bounded(spark):
+    docs = spark.range(20_000).selectExpr("CAST(1 AS LONG) AS doc_id", "concat('text ', id) AS text").union(spark.createDataFrame([(2, "y" * 500), (3, "z" * 90), (4, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (1, 1), (4, 1), (None, 1)], "doc_id long, label int")
+    get = lambda per, most: sampling.labelled_texts(docs, labels, label_col="label", classes=[0, 1], per_class=per, max_chars=most)
+    assert get(10, 100) == [("text 0", 0), ("text 0", 1), ("y" * 500, 1), ("z" * 90, 1)]
+    assert get(2, 50) == [("text 0", 0), ("text 0", 1), ("z" * 90, 1)] and get(2, 40) == [("text 0", 0), ("text 0", 1)]
+
+
 def brute(rows, width, pct):
     sets = {}
     for i, text in rows:

@@ -45,7 +45,7 @@ STAGES = [
     ("SentencePiece", tokens),
 ]
 
-#: The learned stages and the tokenizer are beyond SQL; tests hold the stages' operators, not run(), against brute force.
+#: The learned stages and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds run() against plain loops.
 ORACLE_SQL = None
 
 

@@ -21,7 +21,7 @@ ORDER = 4
 #: Log ratios are added as whole numbers of this part of one, so that the order does not matter.
 UNIT = 1e-9
 #: Rows of window values that are broadcast; beyond them a join with SALTS parts of each is used.
-BROADCAST_ROWS, SALTS = 100_000, 16
+BROADCAST_ROWS, SALTS = 20_000, 16
 #: Weight of the shorter context's estimate, in observations; characters of the base alphabet.
 PRIOR, ALPHABET = 2.0, 96.0
 

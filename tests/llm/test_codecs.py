@@ -303,7 +303,7 @@ def ratio(text, model):
     return total / len(text) if text else 0.0
 
 
-@pytest.mark.parametrize("broadcast", [0, 100_000])
+@pytest.mark.parametrize("broadcast", [0, 20_000])
 def test_url_scores_by_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(url_filter, "BROADCAST_ROWS", broadcast)
     r = random.Random(3)

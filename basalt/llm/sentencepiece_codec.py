@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 from collections.abc import Iterator
 from itertools import chain
 
@@ -23,7 +24,11 @@ from sentencepiece import sentencepiece_model_pb2
 from .common import alone, slices, worker_cache
 
 SPACE = "▁"
+#: Parts of up to SHORT characters have a plain list for an agenda; the cost of a pair that is no piece.
+SHORT, NEVER = 24, float("inf")
 NORMAL, BYTE = 1, 6
+#: Ranges of Latin and Cyrillic letters.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ӿ"
 
 
 class _Parts(dict):
@@ -45,6 +50,20 @@ class _Parts(dict):
         return ids
 
 
+def _breaks(pieces, lines: bool) -> str:
+    """A pattern of the parts that no piece reaches across, given that none goes on before white space.
+
+    lines: no longer piece has a line feed, so a break is sure there. It is sure too between a letter
+    and an ASCII digit or sign that follows a letter in no piece.
+    """
+    inside = {p[i + 1] for p in pieces for i in range(len(p) - 1) if re.match(f"[{LETTERS}]", p[i])}
+    signs = re.escape("".join(c for c in string.punctuation + string.digits if c not in inside))
+    end = f"{SPACE}\n" if lines else SPACE
+    word = f"{SPACE}*[^{end}{LETTERS}]*[{LETTERS}]+"
+    more = f"(?:[^{end}{LETTERS}{signs}][^{end}{LETTERS}]*[{LETTERS}]*)*"
+    return f"{word}{more}|{SPACE}*[^{end}{LETTERS}]+|{SPACE}+" + ("|\n" if lines else "")
+
+
 class Codec:
     """encode() and decode() of one model, given as the bytes of its file.
 
@@ -76,17 +95,41 @@ class Codec:
             elif p.type == BYTE:
                 bytes_[int(p.piece[1:-1], 16)] = i
         self.bytes = [bytes_[b] for b in range(256)]
-        # A break is sure at a line feed if no longer piece has one, and before white space.
-        self.parts = re.compile(
-            (f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if "\n" not in alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-            if not crossing
-            else "(?s).+"
-        ).findall
+        self.parts = re.compile("(?s).+" if crossing else _breaks(self.ids, "\n" not in alone)).findall
         self.digits = [str(i) for i in range(len(proto.pieces))]
         self.cache = _Parts(self.merged, cached)
 
     def merged(self, part: str) -> tuple[int, ...]:
-        """Ids of a part by the agenda. Its entries: (cost, start, the pair as one string)."""
+        """Ids of a part by the agenda: a plain list for short parts, a heap for longer ones."""
+        symbols = self.short_agenda(part) if len(part) <= SHORT else self.heap_agenda(part)
+        out: list[int] = []
+        for s in symbols:
+            piece = self.ids.get(s)
+            if piece is None:
+                out.extend(self.bytes[b] for b in s.encode())
+            else:
+                out.append(piece)
+        return tuple(out)
+
+    def short_agenda(self, part: str) -> list[str]:
+        """The symbols left. Agenda: the cost of each adjacent pair, in order; the first least merges."""
+        symbols, cost = list(part), self.cost.get
+        agenda = [cost(a + b, NEVER) for a, b in zip(part, part[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            symbols[i] = grown = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + grown, NEVER)
+            if i < len(agenda):
+                agenda[i] = cost(grown + symbols[i + 1], NEVER)
+        return symbols
+
+    def heap_agenda(self, part: str) -> list[str]:
+        """The symbols left. Agenda's entries: (cost, start, the pair as one string)."""
         symbols, n, cost = list(part), len(part), self.cost.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
@@ -111,15 +154,7 @@ class Codec:
                 grown = symbols[h] + pair
                 if (c := cost(grown)) is not None:
                     heapq.heappush(agenda, (c, h, grown))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                piece = self.ids.get(s)
-                if piece is None:
-                    out.extend(self.bytes[b] for b in s.encode())
-                else:
-                    out.append(piece)
-        return tuple(out)
+        return [s for s in symbols if s]
 
     def encode(self, text: str) -> list[int]:
         if not text:
@@ -170,7 +205,7 @@ def encoded(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col:
                 truth = codec.library.encode(rows, num_threads=1)
                 own = [codec.encode(t) for t in rows]
                 checked = [a == b for a, b in zip(own, truth)]
-                decoded = codec.library.decode(own)
+                decoded = codec.library.decode(own, num_threads=1)
                 arrays = [batch.column("id")]
                 if texts:
                     arrays += [pa.array(own, pa.list_(pa.int32())), pa.array(decoded, pa.string())]

@@ -28,8 +28,10 @@ def test_agenda_equals_library():
     codec = sentencepiece_codec.Codec(Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes())
     r = random.Random(5)
     for _ in range(3000):
-        text = "".join(r.choice("ab the,.▁ \n\té日<s>\U0001f600") for _ in range(r.randint(0, 40)))
+        text = "".join(r.choice("ab the,.▁ \n\té日<s>\U0001f6001’»-\"") for _ in range(r.randint(0, 40)))
         assert codec.encode(text) == codec.library.encode(text)
+        part = "▁" + text.replace(" ", "")
+        assert codec.short_agenda(part) == codec.heap_agenda(part)
 
 
 def test_encoded_rows(spark, odd):

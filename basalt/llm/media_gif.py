@@ -11,8 +11,10 @@ import hashlib
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,41 +51,38 @@ class Frame:
 # --- LZW
 
 
-def _unpack(data: bytes, start: int, widths: np.ndarray) -> np.ndarray:
-    """Codes of the given bit widths, least significant bit first, from bit `start` on."""
-    at = start + np.concatenate([[0], np.cumsum(widths)[:-1]])
-    padded = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
+def _unpack(padded: np.ndarray, at: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Codes of the given bit widths, least significant bit first, at the given bits; padded: bytes and four more."""
     byte = at >> 3
     word = padded[byte] | (padded[byte + 1] << 8) | (padded[byte + 2] << 16)
     return (word >> (at & 7)) & ((1 << widths) - 1)
 
 
-def _expand(codes: np.ndarray, clear: int) -> bytes:
-    """The bytes of the codes between two clear codes.
-
-    Code k of the run, after the first, adds the entry: string of code k-1 and the first byte of
-    code k; that is a stretch of the output itself, one byte longer than code k-1's.
+def _expand(codes: list[int], clear: int) -> bytes:
+    """The bytes of the codes between two clear codes. Every code but the first adds an entry: the string
+    of the code before and the first byte of its own.
     """
-    if (codes < clear).all():
-        return codes.astype(np.uint8).tobytes()
-    out, begins, sizes = bytearray(), [], []
-    for k, code in enumerate(codes.tolist()):
-        begins.append(len(out))
-        if code < clear:
-            out.append(code)
-            sizes.append(1)
-            continue
-        j = code - clear - 2
-        if j < 0 or j >= k:
-            raise ValueError("LZW code without an entry")
-        begin, size = begins[j], sizes[j] + 1
-        if j == k - 1:
-            out += out[begin : begin + size - 1]
-            out.append(out[begin])
-        else:
-            out += out[begin : begin + size]
-        sizes.append(size)
-    return bytes(out)
+    if not codes:
+        return b""
+    entries = SINGLES[:clear] + [None, None]
+    try:
+        last = entries[codes[0]]
+        out, add = [last], entries.append
+        put = out.append
+        for code in codes[1 : 4097 - clear - 2]:
+            try:
+                entry = entries[code]
+            except IndexError:
+                if code != len(entries):
+                    raise
+                entry = last + last[:1]
+            add(last + entry[:1])
+            put(entry)
+            last = entry
+        out += [entries[code] for code in codes[4097 - clear - 2 :]]  # a full table stays as it is
+        return b"".join(out)
+    except (IndexError, TypeError):
+        raise ValueError("LZW code without an entry") from None
 
 
 def _schedule(least: int) -> np.ndarray:
@@ -94,6 +93,10 @@ def _schedule(least: int) -> np.ndarray:
 
 
 SCHEDULES = {least: _schedule(least) for least in range(1, 12)}
+ENDS = {least: np.cumsum(widths) for least, widths in SCHEDULES.items()}
+#: Widths and ends of the codes of a stream that begins with a clear code.
+LEADS = {least: (w := np.concatenate([[least + 1], widths]), np.cumsum(w)) for least, widths in SCHEDULES.items()}
+SINGLES = [bytes([i]) for i in range(256)] + [b""] * (1 << 11)
 
 
 def lzw_decode(data: bytes, least: int, most: float = math.inf) -> bytes:
@@ -101,62 +104,157 @@ def lzw_decode(data: bytes, least: int, most: float = math.inf) -> bytes:
     if least not in SCHEDULES:
         raise ValueError("an LZW code size out of range")
     clear, out, bit, bits, done = 1 << least, [], 0, 8 * len(data), 0
+    padded = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
     while bit + least + 1 <= bits and done < most:
-        widths = SCHEDULES[least]
+        widths, ends = SCHEDULES[least], ENDS[least]
         while True:
-            ends = bit + np.cumsum(widths)
-            fit = int(np.searchsorted(ends, bits, "right"))
-            codes = _unpack(data, bit, widths[:fit])
+            fit = int(np.searchsorted(ends, bits - bit, "right"))
+            codes = _unpack(padded, bit + ends[:fit] - widths[:fit], widths[:fit])
             stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
             if len(stops) or fit < len(widths):
                 break
-            widths = np.concatenate([widths, np.full(4096, 12)])  # a full table stays as it is
+            widths = np.concatenate([widths, np.full(4096, 12)])
+            ends = np.cumsum(widths)
         n = int(stops[0]) if len(stops) else len(codes)
-        out.append(_expand(codes[:n], clear))
+        out.append(_expand(codes[:n].tolist(), clear))
         done += len(out[-1])
         if not len(stops) or codes[n] == clear + 1:
             break
-        bit = int(ends[n])
+        bit += int(ends[n])
     return b"".join(out)
 
 
-def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
-    """Codes of the given bit widths behind each other, least significant bit first."""
-    at = np.concatenate([[0], np.cumsum(widths)])
-    spread = codes << (at[:-1] & 7)
-    out = np.zeros((int(at[-1]) + 7) // 8 + 2, np.int64)
-    for k in range(3):  # a code reaches into three bytes at most; bits never meet
-        np.add.at(out, (at[:-1] >> 3) + k, spread >> (8 * k) & 255)
-    return out[: (int(at[-1]) + 7) // 8].astype(np.uint8).tobytes()
+def lzw_decoded(streams: list[bytes], least: int, most: list[int]) -> Iterator[bytes]:
+    """The indices of each stream, as by lzw_decode(); none of one that is damaged.
+
+    Streams of one run, from a clear code to the end code, are unpacked together.
+    """
+    if least not in LEADS:
+        yield from (b"" for _ in streams)
+        return
+    clear, (widths, ends) = 1 << least, LEADS[least]
+    sizes = np.array([len(x) for x in streams])
+    fit = np.searchsorted(ends, 8 * sizes, "right")
+    step = np.arange(int(fit.sum())) - np.repeat(np.cumsum(fit) - fit, fit)
+    at = np.repeat(8 * (np.cumsum(sizes) - sizes), fit) + (ends - widths)[step]
+    padded = np.frombuffer(b"".join([*streams, b"\0\0\0\0"]), np.uint8).astype(np.int64)
+    codes = _unpack(padded, at, widths[step])
+    whole = _expanded(codes, fit, clear)
+    for k, (stream, n) in enumerate(zip(streams, most)):
+        try:
+            yield whole[k] if whole else lzw_decode(stream, least, n)
+        except ValueError:
+            yield b""
+
+
+def _expanded(codes: np.ndarray, sizes: np.ndarray, clear: int) -> list[bytes] | None:
+    """The bytes of streams whose codes stand behind each other, if each is one run; else None.
+
+    Code k of a run, after the first, adds the entry: string of code k and the first byte of code
+    k+1; that is a stretch of the output itself. So each output byte is a literal code's or equals
+    an earlier one, and following those references halves their depth each time.
+    """
+    if not len(sizes) or not sizes.all():
+        return None
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(codes))
+    end = np.minimum.reduceat(np.where(codes == clear + 1, place, len(codes)), begin)
+    if (end >= begin + sizes).any() or (codes[begin] != clear).any() or (end == begin + 1).any():
+        return None
+    run = np.repeat(end, sizes) > place
+    run[begin] = False
+    own, lengths = codes[run], end - begin - 1
+    start, n = np.cumsum(lengths) - lengths, int(lengths.sum())
+    from_ = np.repeat(start, lengths) + own - (clear + 2)
+    further = own >= clear
+    if ((own[further] < clear + 2) | (from_[further] >= np.flatnonzero(further))).any():
+        return None
+    at, source = np.flatnonzero(further), from_[further]
+    size = np.ones(n, np.int64)
+    while True:  # a string is one longer than the one it goes on from
+        longer = size[source] + 1
+        if (longer == size[at]).all():
+            break
+        size[at] = longer
+    first = np.cumsum(size) - size
+    owner = np.repeat(np.arange(n), size)
+    reference = np.arange(len(owner))
+    copied = further[owner]
+    reference[copied] += (first[np.where(further, from_, 0)] - first)[owner[copied]]
+    while True:
+        next_ = reference[reference]
+        if (next_ == reference).all():
+            break
+        reference = next_
+    whole = own[owner[reference]].astype(np.uint8).tobytes()
+    ends = np.append(first, len(owner))[start + lengths].tolist()
+    return [whole[x:y] for x, y in zip([0, *ends], ends)]
 
 
-def lzw_encode(data: bytes, least: int = 8) -> bytes:
-    """A compressed LZW stream of the indices, with a clear code whenever the table is full."""
+def _add_codes(data: bytes, least: int, codes: array, runs: list[int]) -> None:
+    """Adds the codes of a stream, times 256, and how many follow each other without a clear code before them."""
     clear = 1 << least
-    codes, runs = [clear], [1]  # runs: where the code after each clear code stands
-    if data:
-        table, number = {}, clear + 2
-        prefix = data[0]
-        for byte in data[1:]:
-            key = prefix << 8 | byte
-            code = table.get(key)
+    first, full, room = clear + 2 << 8, 4096 << 8, 4096 - clear - 2  # numbers are kept times 256 too
+    start = len(codes) + 1
+    codes.append(clear << 8)
+    runs.append(1)
+    prefix, rest, number, table = data[0] << 8 if data else 0, data[1:], first, {}
+    entry, append = table.setdefault, codes.append
+    for begin in range(0, len(rest), room):
+        some = rest[begin : begin + room]
+        if number + (len(some) << 8) <= full:  # no step can meet a full table
+            for byte in some:
+                code = entry(prefix | byte, number)
+                if code == number:
+                    append(prefix)
+                    prefix = byte << 8
+                    number += 256
+                else:
+                    prefix = code
+            continue
+        for byte in some:
+            code = table.get(prefix | byte)
             if code is not None:
                 prefix = code
                 continue
-            codes.append(prefix)
-            if number < 4096:
-                table[key] = number
-                number += 1
+            append(prefix)
+            if number < full:
+                table[prefix | byte] = number
+                number += 256
             else:
-                codes.append(clear)
-                runs.append(len(codes))
-                table, number = {}, clear + 2
-            prefix = byte
-        codes.append(prefix)
-    codes.append(clear + 1)
-    steps = np.diff([*runs, len(codes)])
-    widths = np.concatenate([[least + 1], *[SCHEDULES[least][:n] for n in steps]])
-    return _pack(np.array(codes), widths)
+                append(clear << 8)
+                runs.append(len(codes) - start)
+                start, number = len(codes), first
+                table.clear()
+            prefix = byte << 8
+    if data:
+        append(prefix)
+    append(clear + 1 << 8)
+    runs.append(len(codes) - start)
+
+
+def lzw_streams(parts: list[bytes], least: int = 8) -> list[bytes]:
+    """A compressed LZW stream of each part, with a clear code whenever the table is full."""
+    codes, runs, ends = array("q"), [], []
+    for part in parts:
+        _add_codes(part, least, codes, runs)
+        ends.append(len(codes))
+    steps = np.array(runs)
+    width = SCHEDULES[least][np.arange(len(codes)) - np.repeat(np.cumsum(steps) - steps, steps)]
+    sizes = np.diff([0, *ends])
+    bits = np.add.reduceat(width, np.array(ends) - sizes)
+    size = (bits + 7) >> 3
+    begin = np.cumsum(size) - size
+    # Each stream begins at a byte of its own.
+    at = np.cumsum(width) - width + np.repeat(8 * begin - (np.cumsum(bits) - bits), sizes)
+    spread = np.frombuffer(codes, np.int64) >> 8 << (at & 7)
+    whole = sum(np.bincount((at >> 3) + k, spread >> (8 * k) & 255, int(size.sum()) + 2) for k in range(3))  # bits never meet
+    packed = whole.astype(np.uint8).tobytes()
+    return [packed[b : b + n] for b, n in zip(begin.tolist(), size.tolist())]
+
+
+def lzw_encode(data: bytes, least: int = 8) -> bytes:
+    return lzw_streams([data], least)[0]
 
 
 # --- files
@@ -210,49 +308,68 @@ def parse_gif(data: bytes) -> tuple[int, int, list[tuple[Frame, bytes, int]]]:
     return width, height, frames
 
 
-def composed(data: bytes) -> Iterator[tuple[Frame, np.ndarray, np.ndarray, int]]:
-    """For each image of a GIF: its frame, the screen as palette indices (0 where nothing has been
-    drawn) and as RGBA, and when it is shown (1/100 s). The two arrays change with the next image.
+def _pixels(parsed: Iterable[tuple[Frame, bytes, int]]) -> Iterator[bytes]:
+    """The indices of each image, decoded some images of one code size at a time."""
+    for least, some in groupby(parsed, lambda image: image[2] & 255):
+        while part := list(islice(some, 256)):
+            yield from lzw_decoded([body for _, body, _ in part], least, [f.width * f.height for f, _, _ in part])
+
+
+def levels_of(palette: np.ndarray) -> np.ndarray:
+    """The bin of brightness (sum of channels, EDGES bins) of each colour."""
+    return (palette.sum(axis=1, dtype=np.int64) * EDGES // 766).astype(np.uint8)
+
+
+def rgba_of(palette: np.ndarray) -> np.ndarray:
+    return np.column_stack([palette, np.full(len(palette), 255, np.uint8)])
+
+
+def composed(gif: tuple, pixels: Iterable[bytes], colours=rgba_of, nothing: int = 0) -> Iterator[tuple[Frame, np.ndarray, np.ndarray, int]]:
+    """For each image of a parsed GIF, whose decoded images follow each other in pixels: its frame, the screen as palette indices (0 where nothing has been
+    drawn) and in colours, and when it is shown (1/100 s). The two arrays change with the next image.
+
+    colours: what stands for each colour of a palette; `nothing` where nothing has been drawn.
     """
-    width, height, parsed = parse_gif(data)
-    shown, canvas, now = np.zeros((height, width), np.uint8), np.zeros((height, width, 4), np.uint8), 0
-    for frame, body, packed in parsed:
+    width, height, parsed = gif
+    shown, canvas, now, known, table = np.zeros((height, width), np.uint8), None, 0, None, None
+    for (frame, _, packed), indices in zip(parsed, pixels):
         h, w = frame.height, frame.width
-        raw = np.frombuffer(lzw_decode(body, packed & 255, h * w), np.uint8)
+        raw = np.frombuffer(indices, np.uint8)
         if len(raw) < h * w:
             raise ValueError("an image without all its pixels")
         frame.pixels = raw[: h * w].reshape(h, w)
         if packed >> 8:  # interlaced: rows 0, 8.., 4, 12.., 2, 6.., 1, 3..
             order = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
             frame.pixels = frame.pixels[np.argsort(order)]
+        if frame.palette is not known:  # an index beyond the palette shows its last colour
+            known, table = frame.palette, colours(frame.palette)
+            table = np.concatenate([table, np.repeat(table[-1:], 256 - len(table), axis=0)])
+        if canvas is None:
+            canvas = np.full((height, width, *table.shape[1:]), nothing, np.uint8)
         before = (shown.copy(), canvas.copy()) if frame.disposal == 3 else None
         at = np.s_[frame.top : frame.top + h, frame.left : frame.left + w]
-        area, colours = shown[at], canvas[at]
+        area, painted = shown[at], canvas[at]
         new = frame.pixels[: area.shape[0], : area.shape[1]]
-        opaque = np.ones(new.shape, bool) if frame.transparent is None else new != frame.transparent
-        area[opaque] = new[opaque]
-        colours[opaque, :3] = frame.palette[np.minimum(new[opaque], len(frame.palette) - 1)]
-        colours[opaque, 3] = 255
+        if frame.transparent is None:
+            area[:], painted[:] = new, table[new]
+        else:
+            opaque = new != frame.transparent
+            area[opaque], painted[opaque] = new[opaque], table[new[opaque]]
         yield frame, shown, canvas, now
         now += frame.delay
         if frame.disposal == 2:
-            area[:], colours[:] = 0, 0
+            area[:], painted[:] = 0, nothing
         elif before:
             shown, canvas = before
 
 
 def read_gif(data: bytes) -> tuple[list[Frame], list[np.ndarray], list[int]]:
     """The frames as stored, the composed RGBA screens, and when each is shown (1/100 s)."""
-    found = [(frame, canvas.copy(), now) for frame, _, canvas, now in composed(data)]
+    gif = parse_gif(data)
+    found = [(frame, canvas.copy(), now) for frame, _, canvas, now in composed(gif, _pixels(gif[2]))]
     return [f for f, *_ in found], [c for _, c, _ in found], [t for *_, t in found]
 
 
-def brightness(canvas: np.ndarray) -> np.ndarray:
-    """Opaque pixels of an RGBA screen by the sum of their channels, in EDGES bins."""
-    level = canvas[..., :3].sum(axis=2, dtype=np.int64) * EDGES // 766
-    return np.bincount(level[canvas[..., 3] > 0], minlength=EDGES)
-
-
 GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 HEADER = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + GREYS
 
@@ -261,33 +378,39 @@ def _chunked(body: bytes) -> bytes:
     return b"".join(bytes([len(body[i : i + 255])]) + body[i : i + 255] for i in range(0, len(body), 255)) + b"\0"
 
 
-def _image(screen: np.ndarray, before: np.ndarray | None) -> bytes:
-    """The control block and image that turn the screen before into this one.
+def _images(screens: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """For each screen the control block and image head that follow from the screen before, and the pixels.
 
     The image covers what differs; unchanged pixels inside are transparent where they are half of
     it or more and SAME is free. The screen stays as it is (disposal 1).
     """
-    top, left, new, clear = 0, 0, screen, None
-    if before is not None:
-        differs = screen != before
-        rows, columns = np.flatnonzero(differs.any(axis=1)), np.flatnonzero(differs.any(axis=0))
-        top, bottom = (rows[0], rows[-1] + 1) if len(rows) else (0, 1)
-        left, right = (columns[0], columns[-1] + 1) if len(columns) else (0, 1)
-        new, differs = screen[top:bottom, left:right], differs[top:bottom, left:right]
-        if 2 * np.count_nonzero(differs) <= differs.size and not (new == SAME).any():
-            new, clear = np.where(differs, new, SAME), SAME
-    control = struct.pack("<BHBB", 1 << 2 | (clear is not None), DELAY, clear or 0, 0)
-    head = struct.pack("<HHHHB", left, top, new.shape[1], new.shape[0], 0)
-    return b"\x21\xf9\x04" + control + b"\x2c" + head + b"\x08" + _chunked(lzw_encode(new.astype(np.uint8).tobytes()))
+    differs = np.ones(screens.shape, bool)
+    differs[1:] = screens[1:] != screens[:-1]
+    places = []
+    for lines in (differs.any(axis=2), differs.any(axis=1)):
+        some = lines.any(axis=1)
+        places += [np.where(some, lines.argmax(axis=1), 0).tolist(), np.where(some, SIDE - lines[:, ::-1].argmax(axis=1), 1).tolist()]
+    counts, out = differs.sum(axis=(1, 2)).tolist(), []
+    for k, (top, bottom, left, right) in enumerate(zip(*places)):
+        height, width = bottom - top, right - left
+        new, clear = screens[k, top:bottom, left:right], None
+        if 2 * counts[k] <= height * width and not (new == SAME).any():
+            new, clear = np.where(differs[k, top:bottom, left:right], new, np.uint8(SAME)), SAME
+        control = struct.pack("<BHBB", 1 << 2 | (clear is not None), DELAY, clear or 0, 0)
+        head = struct.pack("<HHHHB", left, top, width, height, 0)
+        out.append((b"\x21\xf9\x04" + control + b"\x2c" + head + b"\x08", new.tobytes()))
+    return out
+
+
+def gifs_of(payloads: list[bytes]) -> list[bytes]:
+    """Grey GIFs of 24 x 24 screens, each with 576 bytes of its payload, which is whole screens."""
+    images = [_images(np.frombuffer(p, np.uint8).reshape(-1, SIDE, SIDE)) for p in payloads]
+    streams = iter(lzw_streams([pixels for own in images for _, pixels in own]))
+    return [b"".join([HEADER, *(head + _chunked(next(streams)) for head, _ in own), b"\x3b"]) for own in images]
 
 
 def write_gif(payload: bytes) -> bytes:
-    """A grey GIF of 24 x 24 screens, each with 576 bytes of the payload, which is whole screens."""
-    parts, before = [HEADER], None
-    for screen in np.frombuffer(payload, np.uint8).reshape(-1, SIDE, SIDE):
-        parts.append(_image(screen, before))
-        before = screen
-    return b"".join([*parts, b"\x3b"])
+    return gifs_of([payload])[0]
 
 
 def media_of(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,7 +424,7 @@ def media_of(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         for whole in batches:
             for batch in slices(whole, 64):
                 raw = [text_bytes(t) for t in batch.column("text").to_pylist()]
-                files = [write_gif(b + b"\xff" * (-len(b) % UNIT if b else UNIT)) for b in raw]
+                files = gifs_of([b + b"\xff" * (-len(b) % UNIT if b else UNIT) for b in raw])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array([len(b) for b in raw], pa.int64()), pa.array(files, pa.binary())],
                     names=["id", "n_bytes", "gif"],
@@ -324,12 +447,13 @@ FEATURES = (
 )
 
 
-def described(data: bytes) -> tuple[dict, np.ndarray]:
-    """The features of one file, and a row of FRAME and histogram numbers for each frame."""
+def described(data: bytes, gif: tuple, pixels: Iterable[bytes]) -> tuple[dict, np.ndarray]:
+    """The features of one parsed file, and a row of FRAME and histogram numbers for each frame."""
     payload, rows = [], []
-    for f, shown, canvas, now in composed(data):
+    for f, shown, levels, now in composed(gif, pixels, levels_of, EDGES):
         payload.append(shown.tobytes())
-        rows.append([now, f.delay, f.left, f.top, f.width, f.height, f.disposal, *brightness(canvas)])
+        bins = np.bincount(levels.ravel(), minlength=EDGES + 1)[:EDGES].tolist()
+        rows.append([now, f.delay, f.left, f.top, f.width, f.height, f.disposal, *bins])
     if not rows:
         raise ValueError("no image")
     if rows[-1][0] + rows[-1][1] >= 1 << 31:
@@ -363,6 +487,12 @@ def features_of(media: DataFrame) -> DataFrame:
     table need no rule; other columns are not read.
     """
 
+    def parsed(data: bytes) -> tuple | Exception:
+        try:
+            return parse_gif(data)
+        except UNREADABLE as e:
+            return e
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = [
             ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
@@ -370,10 +500,15 @@ def features_of(media: DataFrame) -> DataFrame:
         ]
         for whole in batches:
             for batch in slices(whole, 64):
-                rows, tables = [], []
-                for data in batch.column("gif").to_pylist():
+                rows, tables, files = [], [], batch.column("gif").to_pylist()
+                gifs = [parsed(data) for data in files]
+                pixels = _pixels(image for gif in gifs if isinstance(gif, tuple) for image in gif[2])
+                for data, gif in zip(files, gifs):
+                    own = list(islice(pixels, len(gif[2]))) if isinstance(gif, tuple) else []
                     try:
-                        row, table = described(data)
+                        if isinstance(gif, Exception):
+                            raise gif
+                        row, table = described(data, gif, own)
                     except UNREADABLE as e:
                         row, table = {"error": str(e) or type(e).__name__}, None
                     rows.append(row)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -59,6 +60,10 @@ def test_lzw_round_trip(n):
     r = random.Random(n)
     for data in (bytes(r.randrange(256) for _ in range(n)), bytes(r.choice(b"ab") for _ in range(n)), b"\0" * n):
         assert media_gif.lzw_decode(media_gif.lzw_encode(data), 8) == data
+    parts = [bytes(r.choice(b"abcd"[: 1 + i % 4]) for _ in range(min(n, 900) + i)) for i in range(20)]
+    streams, most = media_gif.lzw_streams(parts), [len(p) for p in parts]
+    assert list(media_gif.lzw_decoded(streams, 8, most)) == parts == [media_gif.lzw_decode(x, 8) for x in streams]
+    assert media_gif._expanded(np.array([256, 65, 259, 257]), np.array([4]), 256) is None
 
 
 def test_disposal_transparency_and_times():
@@ -88,7 +93,8 @@ def test_stored_frames_use_the_format():
     for payload in (first + second + second + bytes(576) + b"\xfe" * 576 + bytes(575) + b"\xfe", b"ab ab ab " * 128):
         data = media_gif.write_gif(payload)
         parsed = media_gif.parse_gif(data)[2]
-        assert b"".join(shown.tobytes() for _, shown, _, _ in media_gif.composed(data)) == payload
+        gif = media_gif.parse_gif(data)
+        assert b"".join(shown.tobytes() for _, shown, _, _ in media_gif.composed(gif, media_gif._pixels(gif[2]))) == payload
     assert all(len(body) < 300 for _, body, _ in parsed)  # so dictionary codes, not literal ones of 9 bits
     frames = [f for f, _, _ in media_gif.parse_gif(media_gif.write_gif(first + second + second))[2]]
     assert [(f.left, f.top, f.width, f.height, f.transparent) for f in frames] == [(0, 0, 24, 24, None), (2, 2, 22, 1, 254), (0, 0, 1, 1, 254)]

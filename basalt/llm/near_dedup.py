@@ -8,8 +8,9 @@ concentrated as that of independent MinHash values (Dahlgaard, Knudsen and Thoru
 
 Bands of four coordinates form buckets. Within a bucket no set of all pairs is made: a few hubs
 are compared with the members outside their own component, linked members fall together, and
-only what is still apart meets the next, larger, number of hubs. Hubs are first those that share
-most buckets. The rounds end when, in every bucket, all pairs in different components have been
+only what is still apart meets the next, larger, number of hubs. Members of a bucket are dealt
+into as many parts as hubs are wanted, and the best of each part is one, by plain aggregation, so
+that no task holds a bucket. The rounds end when, in every bucket, all pairs in different components have been
 compared, so no candidate is dropped. Before texts are read, pairs go that cannot be linked by
 their sizes or parity maps: maps of two sets differ in no more bits than the sets in members.
 """
@@ -23,17 +24,15 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, cut, slices, text_bytes, worker_cache
+from .common import alone, cut, release, slices, text_bytes, worker_cache
 
 U = np.uint64
 ROWS = 4
 #: Hubs of a bucket in the first round, and by how much they grow from round to round.
 HUBS, GROWTH = 4, 16
-#: Parts that a bucket is dealt into while its hubs are chosen.
-SALTS = 16
 #: Bits of the parity map of a set.
 BITS = 512
 EMPTY = np.iinfo(np.uint64).max
@@ -211,6 +210,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         )
         labels = new.select("node", F.col("next").alias("component"))
         if new.where("next <> component").isEmpty():
+            release(nodes.sparkSession)
             return nodes.join(labels, "node", "left").select(
                 "node", F.coalesce("component", "node").alias("component")
             )
@@ -248,7 +248,7 @@ def near_duplicates(
     by those hashes and confirmed on the shingles themselves. A pair at the threshold has no common band with odds below 1e-6, and less the
     more similar it is.
     """
-    bands = bands_for(threshold_pct)
+    spark, bands = docs.sparkSession, bands_for(threshold_pct)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = cut(
         source.mapInArrow(_signatures(width, bands), "id long, n long, set_key binary, bands array<long>, odd array<long>")
@@ -308,25 +308,15 @@ def near_duplicates(
         now = cut(now.join(apart, "bucket"))
         if now.isEmpty():
             break
-        sizes = cut(now.groupBy("bucket", "component").agg(F.count("*").alias("size")))
-        order = ("size", F.desc("rank_by"), "node", "n")
-        each = Window.partitionBy("bucket", "salt").orderBy(*order)
-        whole = Window.partitionBy("bucket").orderBy(*order)
-        chosen = cut(
-            now.join(sizes, ["bucket", "component"])
-            .withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-            .withColumn("rank", F.row_number().over(each))
-            .where(F.col("rank") <= hubs)
-            .withColumn("rank", F.row_number().over(whole))
-            .where(F.col("rank") <= hubs)
-            .select(
-                "bucket",
-                F.col("node").alias("hub"),
-                F.col("n").alias("hub_n"),
-                F.col("component").alias("hub_component"),
-                F.col("odd").alias("hub_odd"),
-            )
+        # Members of a bucket are dealt into `hubs` parts; the best of each part is a hub: of the
+        # component that has least members there, the one that shares most buckets.
+        best = F.min_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("odd").alias("hub_odd")), F.struct(-F.col("rank_by"), "node", "n"))
+        each = now.groupBy("bucket", "component", F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("part")).agg(
+            F.count("*").alias("size"), best.alias("best"), F.max("rank_by").alias("rank_by")
         )
+        hub = F.struct("best.*", F.col("component").alias("hub_component"))
+        order = F.struct("size", -F.col("rank_by"), "best.hub", "best.hub_n")
+        chosen = cut(each.groupBy("bucket", "part").agg(F.min_by(hub, order).alias("h")).select("bucket", "h.*"))
         pairs = (
             now.join(chosen, "bucket")
             .where("component <> hub_component")
@@ -355,6 +345,7 @@ def near_duplicates(
             "left_anti",
         )
         hubs *= GROWTH
+        release(spark)
     classes = cut(sets.select("set_key", "node").join(found, "node", "left"))
     return (
         signed.join(classes, "set_key", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import more_queries
 from .functions import bytes as B
 from .functions import formats
 from .operators import detect, evidence, identity, names, ranges
@@ -239,3 +240,5 @@ ORACLES: dict[str, str] = {
       SELECT doc_id, size FROM y WHERE rank <= 512 AND reach <= 100000""",
     "sniffed_payloads": "SELECT doc_id, (" + "[" + ", ".join(f"'{n}'" for n, _ in detect.MAGIC) + f"])[doc_id % {len(detect.MAGIC)} + 1] AS format FROM documents",
 }
+QUERIES |= more_queries.QUERIES
+ORACLES |= more_queries.ORACLES

@@ -47,28 +47,32 @@ def coincidence(data: bytes, lag: int) -> tuple[int, int]:
     return (int((a[lag:] == a[:total]).sum()) if total else 0), total
 
 
-def byte_facts(df: DataFrame, id_col: str, bytes_col: Column) -> DataFrame:
-    """id, n_bytes, adler32, entropy (of the first 8192 bytes) and dense: 7.65 bits or more of 256
-    bytes at least."""
+# The bytes that entropy is taken of, and what is dense.
+ENTROPY_BYTES, DENSE_LEAST, DENSE_BITS = 8192, 256, 7.65
+
+
+def byte_facts(df: DataFrame, id_col: str, bytes_col: Column, wanted: tuple[str, ...] = ("adler32", "entropy", "dense")) -> DataFrame:
+    """id, n_bytes and of adler32, entropy (of the first 8192 bytes) and dense (7.65 bits or more of 256 bytes at
+    least) those that are wanted; only they are computed.
+    """
+    kinds = {"adler32": "long", "entropy": "double", "dense": "boolean"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column("data").to_pylist()
-            bits = [entropy(b[:8192]) for b in data]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array([len(b) for b in data], pa.int64()),
-                    pa.array([adler32(b) for b in data], pa.int64()),
-                    pa.array(bits, pa.float64()),
-                    pa.array([len(b) >= 256 and x >= 7.65 for b, x in zip(data, bits)], pa.bool_()),
-                ],
-                names=["id", "n_bytes", "adler32", "entropy", "dense"],
-            )
-
-    return df.select(F.col(id_col).cast("long").alias("id"), bytes_col.alias("data")).mapInArrow(
-        run, "id long, n_bytes long, adler32 long, entropy double, dense boolean"
-    )
+            sizes = [len(b) for b in data]
+            out = {"id": batch.column("id"), "n_bytes": pa.array(sizes, pa.int64())}
+            if "adler32" in wanted:
+                out["adler32"] = pa.array([adler32(b) for b in data], pa.int64())
+            if "entropy" in wanted or "dense" in wanted:
+                bits = [entropy(b[:ENTROPY_BYTES]) for b in data]
+                out["entropy"] = pa.array(bits, pa.float64())
+                out["dense"] = pa.array([n >= DENSE_LEAST and x >= DENSE_BITS for n, x in zip(sizes, bits)], pa.bool_())
+            names = ["id", "n_bytes", *wanted]
+            yield pa.RecordBatch.from_arrays([out[c] for c in names], names=names)
+
+    schema = "id long, n_bytes long, " + ", ".join(f"{c} {kinds[c]}" for c in wanted)
+    return df.select(F.col(id_col).cast("long").alias("id"), bytes_col.alias("data")).mapInArrow(run, schema)
 
 
 def histogram(df: DataFrame, bytes_col: Column) -> DataFrame:

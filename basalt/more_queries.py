@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from .functions import bytes as B
-from .functions import probe, scalars, scripts
+from .functions import formats, probe, samples, scalars, scripts
 from .operators import hypotheses, identity, manifest, names, recovery
 from .sources import container
 
@@ -275,6 +275,16 @@ def probed_blobs(spark, d):
     return probe.probed(_t(spark, d, "part").select("p_partkey", blob.alias("b")), "p_partkey", F.col("b")).select("id", "offset", "kind", "label", "confidence", "decoded_length")
 
 
+def format_samples(spark, d):
+    """A whole file of each format and a damaged one, for each of the regions."""
+    rows = [(k, name, case, bytearray(data)) for k, (name, whole) in enumerate(samples.files().items()) for case, data in (("whole", whole), ("damaged", samples.damaged(name, whole)))]
+    made = spark.createDataFrame(rows, "k long, name string, case string, data binary")
+    each = F.broadcast(made).crossJoin(_t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("r")))  # a few rows each
+    each = each.withColumn("id", F.col("k") * 1000 + F.col("r") * 2 + F.when(F.col("case") == "whole", 0).otherwise(1))
+    out = formats.validated(each, "id", F.col("name"), F.col("data"))
+    return out.select("format", (F.floor(F.col("id") / 2) % 500).alias("r"), F.when(F.col("id") % 2 == 0, "whole").otherwise("damaged").alias("case"), "valid", "strength")
+
+
 def repartitioned_segments(spark, d):
     segments = _t(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("pos")).agg(F.sum(F.col("l_quantity").cast("long")).alias("original_size"))
     lengths = _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_totalprice").cast("long") % 200).alias("length"))
@@ -320,7 +330,7 @@ QUERIES = {
         first_solutions, shared_votes, key_verdicts, most_frequent_values, entry_states, guessed_keys, alternate_names, two_hash_names, rows_by_id,
         wanted_candidates, zipped_records, archive_families, bootstrapped_names, free_names, parsed_literals, cleaned_names, synthetic_names, byte_scores,
         partly_plain, refined_extensions, mined_references, probed_blobs, repartitioned_segments, round_trip_report, verified_layers, resolved_resources,
-        deduplicated_references,
+        deduplicated_references, format_samples,
     )
 }
 
@@ -451,5 +461,14 @@ ORACLES: dict[str, str] = {
     "verified_layers": """SELECT l_orderkey, l_linenumber, l_extendedprice AS x, l_partkey AS k, coalesce(p_partkey % 4 <> 0 AND p_size % 7 = l_quantity::INTEGER % 7, false) AS verified
       FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""",
     "resolved_resources": "SELECT o_orderkey, o_custkey % 500 AS k, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey % 500",
+    "format_samples": """WITH f(format, strength) AS (VALUES
+      ('png', 100), ('wave', 95), ('avi', 95), ('webp', 95), ('gif', 98), ('ogg', 100), ('bmp', 85), ('zip', 90), ('7z', 95), ('gzip', 100),
+      ('woff', 95), ('woff2', 75), ('flac', 95), ('iso_bmff', 95), ('midi', 95), ('dds', 90), ('ico', 95), ('cur', 95), ('ebml', 70), ('id3', 70),
+      ('pe', 95), ('asf', 95), ('mpeg_ps', 75), ('mpeg1_video', 90), ('h264', 90), ('psd', 90), ('tga', 90), ('utf8_text', 95), ('utf16le_text', 95),
+      ('utf16be_text', 95), ('cp932_text', 95), ('jpeg', 98), ('jpeg_xr', 70), ('vorbis', 100), ('opus', 100), ('truetype', 98), ('opentype', 98),
+      ('ttc', 98), ('bitmap_font0', 100), ('bitmap_font1', 100), ('tlg5', 95), ('tlg6', 95), ('tlg5_wrapped', 95), ('tlg6_wrapped', 95),
+      ('psz_shell', 65), ('mdf_shell', 65), ('mfl_shell', 65), ('psb', 98), ('compiled_script', 100), ('wrapped_text0', 98), ('wrapped_text1', 98),
+      ('wrapped_text2', 100))
+      SELECT format, r_regionkey::BIGINT AS r, c.unnest AS "case", c.unnest = 'whole' AS valid, CASE WHEN c.unnest = 'whole' THEN strength ELSE 0 END AS strength FROM f, region, unnest(['whole', 'damaged']) c""",
     "deduplicated_references": "SELECT DISTINCT 'ev' || p_size || '.png' AS candidate FROM part",
 }

@@ -13,12 +13,10 @@ def period_votes(observations: DataFrame, periods: range) -> DataFrame:
     smallest value. Votes are summed by (period, slot, value) before they meet, so a hot slot is
     at most as many rows as it has values.
     """
-    each = observations.select(
-        F.explode(F.sequence(F.lit(periods.start), F.lit(periods.stop - 1))).alias("period"), "offset", "value", "weight"
-    )
-    votes = each.groupBy("period", F.pmod("offset", "period").alias("slot"), "value").agg(
-        F.count("*").alias("n"), F.sum("weight").alias("w")
-    )
+    # Equal observations are summed before each period gets a copy of them.
+    seen = observations.groupBy("offset", "value").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    each = seen.select(F.explode(F.sequence(F.lit(periods.start), F.lit(periods.stop - 1))).alias("period"), "offset", "value", "n", "w")
+    votes = each.groupBy("period", F.pmod("offset", "period").alias("slot"), "value").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
     best = F.max(F.struct("w", "n", (-F.col("value")).alias("order"))).alias("best")
     slots = votes.groupBy("period", "slot").agg(best, F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
     return slots.select(

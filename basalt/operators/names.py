@@ -14,7 +14,8 @@ HINTS = (
     (("movie", "video"), ("mpg", "mp4", "wmv")),
 )
 ANY_STORAGE = ("tjs", "ks", "tlg", "png", "ogg", "opus")
-RADIUS, MAX_DIGITS = 128, 6
+# How far neighbouring numbers reach, and the longest number, name and value.
+RADIUS, MAX_DIGITS, MAX_NAME, MAX_VALUE = 128, 6, 240, 1024
 
 
 def neighbours(df: DataFrame, name_col: str, radius: int = RADIUS) -> DataFrame:
@@ -23,18 +24,21 @@ def neighbours(df: DataFrame, name_col: str, radius: int = RADIUS) -> DataFrame:
     The run is that before the extension, of at most six digits; numbers stay at 0 or more and keep
     their padding. Names without such a run, and null names, give no row.
     """
-    file = F.regexp_extract(name_col, r"([^/]*)$", 1)
-    stem = F.regexp_extract(file, r"^(.+?)(\.[^.]+)?$", 1)
-    suffix = F.regexp_extract(file, r"^(.+?)(\.[^.]+)?$", 2)
-    digits = F.regexp_extract(stem, r"([0-9]+)[^0-9]*$", 1)
-    before = F.regexp_extract(stem, r"^(.*?)[0-9]+[^0-9]*$", 1)
-    after = F.regexp_extract(stem, r"([^0-9]*)$", 1)
-    rows = df.where((F.length(digits) > 0) & (F.length(digits) <= MAX_DIGITS))
-    value = digits.cast("long")
+    file = F.regexp_extract(F.col(f"`{name_col}`"), r"([^/]*)$", 1)
+    # Parts are found once a name, before its candidates are laid out.
+    found = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        F.regexp_extract(file, r"^(.+?)(\.[^.]+)?$", 1).alias("stem"), F.regexp_extract(file, r"^(.+?)(\.[^.]+)?$", 2).alias("suffix"),
+    )
+    cut_up = found.select(
+        "row", F.regexp_extract("stem", r"^(.*?)[0-9]+[^0-9]*$", 1).alias("before"), F.regexp_extract("stem", r"([0-9]+)[^0-9]*$", 1).alias("digits"),
+        F.concat(F.regexp_extract("stem", r"([^0-9]*)$", 1), "suffix").alias("after"),
+    ).where(F.length("digits").between(1, MAX_DIGITS))
+    value = F.col("digits").cast("long")
     near = F.array_except(F.sequence(F.greatest(value - radius, F.lit(0)), value + radius), F.array(value))
-    number = F.col("__near").cast("string")
-    padded = F.when(F.length(number) < F.length(digits), F.lpad(number, F.length(digits), F.lit("0"))).otherwise(number)
-    return rows.withColumn("__near", F.explode(near)).withColumn("candidate", F.concat(before, padded, after, suffix)).drop("__near")
+    each = cut_up.select("row", "before", "after", F.length("digits").alias("width"), F.explode(F.transform(near, lambda x: x.cast("string"))).alias("number"))
+    number = F.when(F.length("number") < F.col("width"), F.lpad("number", F.col("width"), F.lit("0"))).otherwise(F.col("number"))
+    return each.select("row.*", F.concat("before", number, "after").alias("candidate"))
 
 
 def candidates(df: DataFrame, value_col: str, context_col: str) -> DataFrame:
@@ -47,13 +51,15 @@ def candidates(df: DataFrame, value_col: str, context_col: str) -> DataFrame:
     value = F.translate(F.regexp_replace(F.col(value_col), r"^[\s\x00]+|[\s\x00]+$", ""), "\\", "/")
     clean = F.regexp_replace(F.regexp_replace(value, r"^(\./)+", ""), r"(?i)^(file://)?(storage://)?", "")
     clean = F.regexp_replace(clean, r"(?s)[?#].*$", "")
-    rows = df.where((F.length(value) > 0) & (F.octet_length(value) <= 1024)).withColumn("__clean", clean)
-    bases = F.array(F.col("__clean"), F.regexp_extract("__clean", r"(?s)^.*>(.+)$", 1), F.regexp_extract("__clean", r"(?s)^/(.+)$", 1))
-    rows = rows.withColumn("__base", F.explode(F.array_distinct(F.transform(bases, lambda b: F.regexp_replace(F.trim(b), r"^[\"'\[\]{}]+|[\"'\[\]{}]+$", "")))))
-    base = F.col("__base")
-    plausible = (F.length(base) > 0) & (F.length(base) <= 240) & ~base.rlike(r"\p{Cc}") & ~F.lower(base).isin("true", "false", "null", "void")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.where((F.length(value) > 0) & (F.octet_length(value) <= MAX_VALUE)).select(row, F.col(f"`{context_col}`").alias("context"), clean.alias("clean"))
+    bases = F.array(F.col("clean"), F.regexp_extract("clean", r"(?s)^.*>(.+)$", 1), F.regexp_extract("clean", r"(?s)^/(.+)$", 1))
+    stripped = F.transform(bases, lambda b: F.regexp_replace(F.trim(b), r"^[\"'\[\]{}]+|[\"'\[\]{}]+$", ""))
+    rows = rows.select("row", "context", F.explode(F.array_distinct(stripped)).alias("base"))
+    base = F.col("base")
+    plausible = (F.length(base) > 0) & (F.length(base) <= MAX_NAME) & ~base.rlike(r"\p{Cc}") & ~F.lower(base).isin("true", "false", "null", "void")
     rows = rows.where(plausible & base.rlike(r"[./>]|^[\p{L}\p{N}_+@~ \-]+$"))
-    context = F.lower(F.coalesce(F.col(context_col), F.lit("")))
+    context = F.lower(F.coalesce("context", F.lit("")))
     none = F.array().cast("array<string>")
     hints = F.concat(*[F.when(F.greatest(*[context.contains(w) for w in words]), F.array(*map(F.lit, exts))).otherwise(none) for words, exts in HINTS])
     hints = F.when((F.size(hints) == 0) & context.contains("storage"), F.array(*map(F.lit, ANY_STORAGE))).otherwise(hints)
@@ -61,7 +67,7 @@ def candidates(df: DataFrame, value_col: str, context_col: str) -> DataFrame:
     bare = ~last.rlike(r"^.+\.[^.]{1,8}$")
     more = F.when(bare, F.transform(hints, lambda e: F.concat(base, F.lit("."), e))).otherwise(none)
     found = F.array_distinct(F.concat(F.filter(F.array(base, last), lambda c: c != ""), more))
-    return rows.withColumn("candidate", F.explode(found)).drop("__clean", "__base")
+    return rows.select("row.*", F.explode(found).alias("candidate"))
 
 
 def bounded_sample(df: DataFrame, size_col: str, order: list[str], most: int, most_size: int) -> DataFrame:
@@ -73,4 +79,5 @@ def bounded_sample(df: DataFrame, size_col: str, order: list[str], most: int, mo
     keys = [F.col(size_col), *map(F.col, order)]
     top = df.where(F.col(size_col).isNotNull()).orderBy(*keys).limit(most)
     reach = F.sum(size_col).over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    return top.withColumn("__reach", reach).where(F.col("__reach") <= most_size).drop("__reach")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return top.select(row, reach.alias("reach")).where(F.col("reach") <= most_size).select("row.*")

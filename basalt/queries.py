@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import more_queries
 from .functions import bytes as B
-from .functions import formats
+from .functions import formats, samples
 from .operators import detect, evidence, identity, names, ranges
 from .sources import container
 
@@ -28,11 +28,11 @@ def checksums(spark, d):
 
 
 def adler_sums(spark, d):
-    return B.byte_facts(_t(spark, d, "documents"), "doc_id", B.payload("text")).select("id", "n_bytes", "adler32")
+    return B.byte_facts(_t(spark, d, "documents"), "doc_id", B.payload("text"), ("adler32",))
 
 
 def byte_entropy(spark, d):
-    f = B.byte_facts(_t(spark, d, "documents"), "doc_id", B.payload("text"))
+    f = B.byte_facts(_t(spark, d, "documents"), "doc_id", B.payload("text"), ("entropy", "dense"))
     return f.select("id", F.round("entropy", 6).alias("entropy"), "dense")
 
 
@@ -118,7 +118,9 @@ def version_compare(spark, d):
 
 
 def sniffed_payloads(spark, d):
-    p = F.concat(F.unhex(F.element_at(F.array(*[F.lit(m) for _, m in detect.MAGIC]), (F.col("doc_id") % len(detect.MAGIC) + 1).cast("int"))), F.lit(b"\0\1\2"))
+    """Whole sample files in front of each text."""
+    heads = [F.lit(bytes(samples.files()[n])) for n in ("png", "gif", "jpeg", "ogg", "wave", "flac", "zip", "7z", "gzip", "bmp", "pe", "midi", "psd", "dds", "id3", "tga")]
+    p = F.concat(F.element_at(F.array(*heads), (F.col("doc_id") % 16 + 1).cast("int")), B.payload("text"))
     return _t(spark, d, "documents").select("doc_id", detect.sniffed(p).alias("format"))
 
 
@@ -165,8 +167,8 @@ def neighbour_names(spark, d):
 
 
 def reference_names(spark, d):
-    rows = _t(spark, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 2 == 0, "call:loadImage").otherwise("literal").alias("context"))
-    return names.candidates(rows, "url", "context").select("page_id", "candidate").distinct()
+    rows = _t(spark, d, "part").select("p_partkey", F.concat(F.lit("./ev\\cg"), F.col("p_partkey"), F.when(F.col("p_partkey") % 3 == 0, ".png?x").otherwise("")).alias("v"), F.when(F.col("p_partkey") % 2 == 0, "call:loadImage").otherwise("literal").alias("context"))
+    return names.candidates(rows, "v", "context").select("p_partkey", "candidate").distinct()
 
 
 def sampled_smallest(spark, d):
@@ -235,10 +237,12 @@ ORACLES: dict[str, str] = {
     "neighbour_names": """WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 1000 < 10 THEN '0' ELSE '' END || (p_partkey % 1000)::VARCHAR AS digits FROM part),
       y AS (SELECT *, digits::BIGINT AS v, unnest(range(greatest(digits::BIGINT - 128, 0), digits::BIGINT + 129)) AS w FROM x)
       SELECT p_partkey, 'cg' || digits || 'b.png' AS name, 'cg' || CASE WHEN length(w::VARCHAR) < length(digits) THEN lpad(w::VARCHAR, length(digits)::INTEGER, '0') ELSE w::VARCHAR END || 'b.png' AS candidate FROM y WHERE w <> v""",
+    "reference_names": """WITH x AS (SELECT p_partkey, 'cg' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.png' ELSE '' END AS f FROM part)
+      SELECT p_partkey, unnest(['ev/' || f, f] || CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 <> 0 THEN ['ev/' || f || '.ks', 'ev/' || f || '.tlg', 'ev/' || f || '.png', 'ev/' || f || '.jpg'] ELSE [] END) AS candidate FROM x""",
     "sampled_smallest": """WITH x AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM documents),
       y AS (SELECT *, row_number() OVER w AS rank, sum(size) OVER w AS reach FROM x WINDOW w AS (ORDER BY size, doc_id ROWS UNBOUNDED PRECEDING))
       SELECT doc_id, size FROM y WHERE rank <= 512 AND reach <= 100000""",
-    "sniffed_payloads": "SELECT doc_id, (" + "[" + ", ".join(f"'{n}'" for n, _ in detect.MAGIC) + f"])[doc_id % {len(detect.MAGIC)} + 1] AS format FROM documents",
+    "sniffed_payloads": """SELECT doc_id, ['png', 'gif', 'jpeg', 'ogg', 'riff', 'flac', 'zip', '7z', 'gzip', 'bmp', 'pe', 'midi', 'psd', 'dds', 'id3', 'unknown'][doc_id % 16 + 1] AS format FROM documents""",
 }
 QUERIES |= more_queries.QUERIES
 ORACLES |= more_queries.ORACLES

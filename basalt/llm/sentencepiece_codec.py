@@ -8,6 +8,7 @@ the same Arrow batch.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -58,10 +59,10 @@ def _breaks(pieces, lines: bool) -> str:
     """
     inside = {p[i + 1] for p in pieces for i in range(len(p) - 1) if re.match(f"[{LETTERS}]", p[i])}
     signs = re.escape("".join(c for c in string.punctuation + string.digits if c not in inside))
-    end = f"{SPACE}\n" if lines else SPACE
-    word = f"{SPACE}*[^{end}{LETTERS}]*[{LETTERS}]+"
+    end = " \n" if lines else " "
+    word = f" *[^{end}{LETTERS}]*[{LETTERS}]+"
     more = f"(?:[^{end}{LETTERS}{signs}][^{end}{LETTERS}]*[{LETTERS}]*)*"
-    return f"{word}{more}|{SPACE}*[^{end}{LETTERS}]+|{SPACE}+" + ("|\n" if lines else "")
+    return f"{word}{more}| *[^{end}{LETTERS}]+| +" + ("|\n" if lines else "")
 
 
 class Codec:
@@ -71,7 +72,7 @@ class Codec:
     and byte fallback; others raise ValueError.
     """
 
-    def __init__(self, model: bytes, cached: int = 250_000):
+    def __init__(self, model: bytes, cached: int = 400_000):
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         norm = proto.normalizer_spec
@@ -88,10 +89,12 @@ class Codec:
         alone, crossing = set(), False
         for i, p in enumerate(proto.pieces):
             if p.type == NORMAL:
-                self.ids[p.piece], self.cost[p.piece] = i, -p.score
-                if len(p.piece) > 1:
-                    alone.update(p.piece)
-                    crossing |= bool(re.search(f"[^{SPACE}]{SPACE}", p.piece))
+                # Here a blank stands for the vocabulary's mark, so that ASCII texts stay ASCII.
+                piece = p.piece.replace(SPACE, " ")
+                self.ids[piece], self.cost[piece] = i, -p.score
+                if len(piece) > 1:
+                    alone.update(piece)
+                    crossing |= bool(re.search("[^ ] ", piece))
             elif p.type == BYTE:
                 bytes_[int(p.piece[1:-1], 16)] = i
         self.bytes = [bytes_[b] for b in range(256)]
@@ -106,7 +109,7 @@ class Codec:
         for s in symbols:
             piece = self.ids.get(s)
             if piece is None:
-                out.extend(self.bytes[b] for b in s.encode())
+                out.extend(self.bytes[b] for b in s.replace(" ", SPACE).encode())
             else:
                 out.append(piece)
         return tuple(out)
@@ -159,7 +162,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        parts = self.parts((SPACE + text).replace(" ", SPACE))
+        parts = self.parts(" " + (text.replace(SPACE, " ") if SPACE in text else text))
         return list(chain.from_iterable(map(self.cache.__getitem__, parts)))
 
     def digest(self, ids: list[int]) -> str:
@@ -199,24 +202,31 @@ def encoded(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
-        for whole in batches:
-            for batch in slices(whole, 256):
-                rows = [t or "" for t in batch.column("text").to_pylist()]
-                truth = codec.library.encode(rows, num_threads=1)
-                own = [codec.encode(t) for t in rows]
-                checked = [a == b for a, b in zip(own, truth)]
-                decoded = codec.library.decode(own, num_threads=1)
-                arrays = [batch.column("id")]
-                if texts:
-                    arrays += [pa.array(own, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                arrays += [
-                    pa.array([len(ids) for ids in own], pa.int64()),
-                    pa.array([codec.digest(ids) for ids in own], pa.string()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
-                    pa.array(checked, pa.bool_()),
-                ]
-                names = [id_col, *(["ids", "decoded"] if texts else []), "n_tokens", "ids_sha256", "decoded_sha256", "checked"]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        gc.disable()  # no cycles are made here, and looking for them walks through the cache
+        try:
+            for whole in batches:
+                for batch in slices(whole, 256):
+                    yield one(codec, batch)
+        finally:
+            gc.enable()
+
+    def one(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [t or "" for t in batch.column("text").to_pylist()]
+        truth = codec.library.encode(rows, num_threads=1)
+        own = [codec.encode(t) for t in rows]
+        checked = [a == b for a, b in zip(own, truth)]
+        decoded = codec.library.decode(own, num_threads=1)
+        arrays = [batch.column("id")]
+        if texts:
+            arrays += [pa.array(own, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+        arrays += [
+            pa.array([len(ids) for ids in own], pa.int64()),
+            pa.array([codec.digest(ids) for ids in own], pa.string()),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
+            pa.array(checked, pa.bool_()),
+        ]
+        names = [id_col, *(["ids", "decoded"] if texts else []), "n_tokens", "ids_sha256", "decoded_sha256", "checked"]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")

@@ -26,7 +26,7 @@ TOKEN = re.compile(
     r"|(?P<operator>" + "|".join(map(re.escape, PAIRS.split())) + r"|.)",
     re.S,
 )
-ESCAPE = re.compile(r"\\(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|(.))", re.S)
+ESCAPE = re.compile(r"\\(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|(.)|\Z)", re.S)
 TAG = re.compile(r"\[((?:[^\]\"'\\]|\\(?![\"'])|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')*)\]")
 ATTRIBUTE = re.compile(r"([^\s=\[\]]+)(?:\s*=\s*(?:\"((?:[^\"\\]|\\.)*)\"?|'((?:[^'\\]|\\.)*)'?|(\S*)))?")
 
@@ -40,7 +40,7 @@ def _unescaped(literal: str) -> str:
         code = m[1] or m[2]
         if code:
             return "" if "d800" <= code.lower() <= "dfff" and len(code) == 4 else chr(int(code, 16))
-        return ESCAPES.get(m[3], "" if m[3] in "xu" else m[3])
+        return "" if m[3] is None or m[3] in "xu" else ESCAPES.get(m[3], m[3])
 
     return ESCAPE.sub(one, body)
 

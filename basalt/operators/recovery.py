@@ -76,8 +76,8 @@ def search_size(slots: DataFrame, keys: list[str], direct: int = DIRECT_LIMIT, h
     bits = total(lambda x: x["times"] * F.log2(x["n"].cast("double")))
     wide = lambda x: x.cast(f"decimal({DIGITS},0)")
     one = wide(F.lit(1))
-    # A product is null once it does not fit; 128 factors of two at most fit, so no more steps are made.
-    times = lambda a, n: F.when(a.isNotNull() & (a <= F.floor(F.lit(float(10**37)) / n)), wide(F.try_multiply(a, wide(n))))
+    # A product is null once it does not fit; 128 factors of two do not, so no more steps are made.
+    times = lambda a, n: wide(F.try_multiply(a, wide(n)))
     steps = lambda x: F.sequence(F.lit(1), F.least(x["times"], F.lit(128).cast("long")))
     product = F.aggregate(
         F.filter(sizes, lambda x: x["n"] > 1), one, lambda a, x: F.aggregate(steps(x), a, lambda b, _: times(b, x["n"]))

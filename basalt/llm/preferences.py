@@ -160,7 +160,8 @@ def paired(conversations: DataFrame) -> DataFrame:
     hashed = conversations.select("id", said.alias("said"), F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])).alias("hashes"))
     paths = cut(hashed.mapInArrow(_prefixes, f"id {kind}, said long, path array<bigint>"))
     each = paths.select("id", F.posexplode("path").alias("depth", "prefix"))
-    shared = each.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
+    # Stored first, so that the join deals both sides anew and Spark can split a prefix that many share.
+    shared = cut(each.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1"))
     deepest = each.join(shared, "prefix").groupBy("id").agg((F.max("depth") + 1).alias("depth"))
     light = paths.join(deepest, "id", "left").select(
         "id", "said", F.get("path", F.lit(0)).alias("first"), F.slice("path", F.lit(1), F.coalesce("depth", F.lit(1))).alias("path")

@@ -6,7 +6,6 @@ import gc
 import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +46,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-@contextmanager
-def no_cycles() -> Iterator[None]:
-    """For loops that make no reference cycles: looking for them would walk through large caches."""
-    gc.disable()
-    try:
-        yield
-    finally:
-        gc.enable()
-
-
 def words_of(text: Column) -> Column:
     """The words of a text (runs of anything but ASCII white space); none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RE), lambda w: w != "")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GramBuckets, WordIds, alone, no_cycles, slices, text_bytes, worker_cache
+from .common import GramBuckets, WordIds, alone, slices, text_bytes, worker_cache
 from .sampling import fold, labelled_texts
 
 BUCKETS = 1 << 13
@@ -70,18 +70,17 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, in
         _begin()
         cache = _Grams()
         df, n = np.zeros(BUCKETS + 1, np.int64), 0
-        with no_cycles():
-            for whole in batches:
-                for batch in slices(whole):
-                    for text in batch.column("text").to_pylist():
-                        n += 1
-                        words = set(words_in(text))
-                        if not words:
-                            continue
-                        cache.reserve()
-                        flags = np.zeros(BUCKETS, bool)
-                        flags[np.concatenate(list(map(cache.__getitem__, words)))] = True
-                        df[:BUCKETS] += flags
+        for whole in batches:
+            for batch in slices(whole):
+                for text in batch.column("text").to_pylist():
+                    n += 1
+                    words = set(words_in(text))
+                    if not words:
+                        continue
+                    cache.reserve()
+                    flags = np.zeros(BUCKETS, bool)
+                    flags[np.concatenate(list(map(cache.__getitem__, words)))] = True
+                    df[:BUCKETS] += flags
         df[BUCKETS] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1, dtype=np.int32)), pa.array(df)], names=["bucket", "n"])
 
@@ -198,26 +197,26 @@ def predicted(docs: DataFrame, model: Model, *, text_col: str = "text", lang: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         k = len(model.langs)
+
         _begin()
         words = model.started()
-        with no_cycles():
-            for whole in batches:
-                for batch in slices(whole):
-                    names, sure = [], []
-                    for text in batch.column(text_col).to_pylist():
-                        if not k or not has_letter(text):
-                            names.append(UNKNOWN)
-                            sure.append(0.0)
-                            continue
-                        ids = words.ids(words_in(text))
-                        sums = words.table[ids].sum(axis=0)
-                        p = softmax((sums[:k] / max(sums[k], 1) + model.bias) / model.temperature)
-                        best = int(p.argmax())
-                        names.append(model.langs[best])
-                        sure.append(float(p[best]))
-                    yield pa.RecordBatch.from_arrays(
-                        [*batch.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*kept, lang, score]
-                    )
+        for whole in batches:
+            for batch in slices(whole):
+                names, sure = [], []
+                for text in batch.column(text_col).to_pylist():
+                    if not k or not has_letter(text):
+                        names.append(UNKNOWN)
+                        sure.append(0.0)
+                        continue
+                    ids = words.ids(words_in(text))
+                    sums = words.table[ids].sum(axis=0)
+                    p = softmax((sums[:k] / max(sums[k], 1) + model.bias) / model.temperature)
+                    best = int(p.argmax())
+                    names.append(model.langs[best])
+                    sure.append(float(p[best]))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*kept, lang, score]
+                )
 
     return table.mapInArrow(run, schema)
 

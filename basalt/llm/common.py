@@ -3,39 +3,21 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stored import cut, ensure_checkpoint_dir  # noqa: F401
+
 #: The six ASCII white-space characters that part words.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; choose a local one only in local mode."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="basalt-checkpoint-")
-    sc.setCheckpointDir(folder)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored in the shared checkpoint folder; its lineage ends there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files and checkpoints that nothing refers to any more.
 

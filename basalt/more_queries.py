@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import bytes as B
 from .functions import formats, probe, samples, scalars, scripts
-from .operators import hypotheses, identity, manifest, names, recovery
+from .operators import hypotheses, identity, manifest, names, recovery, stored
 from .sources import container
 
 
@@ -210,7 +210,7 @@ def bootstrapped_names(spark, d):
     texts = spark.range(200).select(F.col("id").alias("k")).select(name(key).alias("name"), F.array(name(key * 2 + 1), name(key * 7 + 3)).alias("mentions"))
     goal = _t(spark, d, "part").where("p_partkey % 3 <> 0").select(F.md5(F.concat(F.lit("f"), F.pmod("p_partkey", F.lit(200)))).alias("hash")).distinct()
     start = spark.createDataFrame([("f1",)], "name string")
-    return identity.bootstrapped(texts, goal, start, lambda df: df.persist())
+    return identity.bootstrapped(texts, goal, start, stored.cut)
 
 
 def free_names(spark, d):

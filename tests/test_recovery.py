@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from basalt import queries
 from basalt.functions import formats, formats_more, samples, scalars, scripts
 from basalt.operators import hypotheses, manifest, recovery
 from basalt.sources import container as c
@@ -99,3 +100,15 @@ def test_manifests_are_read_back(spark, tmp_path):
     back = manifest.read_manifest(spark, str(tmp_path / "m"))
     pick = lambda t: sorted(map(tuple, t.select("archive_id", "entry_no", "name", "sha256", "fixed_sha256").collect()))
     assert pick(back) == pick(rows) and back.where("archive_id = 'b'").count() == 1
+
+
+def test_the_plan_of_a_fixpoint_does_not_grow(spark):
+    d = "/root/testdata/sf0.01"
+    allowed = {r.k for r in spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 3 <> 0").selectExpr("p_partkey % 200 AS k").collect()}
+    want, last = {1: 0}, [1]
+    for n in range(1, 17):
+        last = sorted({m for k in last for m in ((k * 2 + 1) % 200, (k * 7 + 3) % 200) if m in allowed and m not in want})
+        want |= dict.fromkeys(last, n)
+    got = queries.QUERIES["bootstrapped_names"](spark, d)
+    assert {r.name: r.round for r in got.collect()} == {f"f{k}": n for k, n in want.items()} and max(want.values()) > 5
+    assert len(got._jdf.queryExecution().optimizedPlan().toString().split("\n")) < 10

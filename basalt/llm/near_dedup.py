@@ -10,9 +10,14 @@ Bands of four coordinates form buckets. Within a bucket no set of all pairs is m
 are compared with the members outside their own component, linked members fall together, and
 only what is still apart meets the next, larger, number of hubs. Members of a bucket are dealt
 into as many parts as hubs are wanted, and the best of each part is one, by plain aggregation, so
-that no task holds a bucket. The rounds end when, in every bucket, all pairs in different components have been
-compared, so no candidate is dropped. Before texts are read, pairs go that cannot be linked by
-their sizes or parity maps: maps of two sets differ in no more bits than the sets in members.
+that no task holds a bucket; in a bucket of no more members than that each is a hub, and the bucket is
+done after the round. The rounds end when all buckets are, so all pairs of members in different
+components have been compared and no candidate is dropped. Before texts are read, pairs go that cannot
+be linked by their sizes or parity maps: maps of two sets differ in no more bits than the sets in members.
+
+A round costs the driver memory for each task and plan, whatever the rows. So there are few of both:
+links are joined into components in one task as long as they are few enough for its memory, and
+only what a later step needs again is stored.
 """
 
 from __future__ import annotations
@@ -32,7 +37,11 @@ from .common import alone, cut, release, slices, text_bytes, worker_cache
 U = np.uint64
 ROWS = 4
 #: Hubs of a bucket in the first round, and by how much they grow from round to round.
-HUBS, GROWTH = 4, 16
+HUBS, GROWTH = 4, 32
+#: Links that one task joins into components (about 250 MB there); more are joined by label spreading.
+UNION = 2_000_000
+#: Pairs whose ids are broadcast, so that only their texts are shuffled; with more all texts are.
+FEW_PAIRS = 20_000
 #: Bits of the parity map of a set.
 BITS = 512
 EMPTY = np.iinfo(np.uint64).max
@@ -227,6 +236,37 @@ def thinned(links: DataFrame) -> DataFrame:
     return met.select(F.col("least").alias("a"), "b").union(met.where("least <> a").select("least", F.col("a").alias("b"))).distinct()
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the nodes of all links that are not the smallest of their component."""
+    ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate([x for pair in zip(*ends) for x in pair]), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)  # roots hang on smaller ones, then every node on its root
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    for start in range(0, len(moved), 10_000):
+        part = moved[start : start + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[label[part]])], names=["node", "component"])
+
+
+def united(links: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of links (a, b) that are not the smallest of their component, stored."""
+    links = links.select("a", "b")
+    if links.count() <= UNION:
+        return cut(links.coalesce(1).mapInArrow(_united, "node long, component long"))
+    links = cut(thinned(links))
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    return cut(components(nodes, links).where("node <> component"))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -253,7 +293,7 @@ def near_duplicates(
     signed = cut(
         source.mapInArrow(_signatures(width, bands), "id long, n long, set_key binary, bands array<long>, odd array<long>")
     )
-    sets = (
+    sets = cut(
         signed.where("n > 0 and id is not null")
         .groupBy("set_key")
         .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
@@ -263,59 +303,67 @@ def near_duplicates(
     # anew, so that Spark can split the rows of a hot key.
     shared = cut(
         buckets.groupBy("bucket")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("mates"))
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
         .where("low <> high")
-        .select("bucket", "mates")
+        .select("bucket", "size")
     )
-    members = cut(buckets.join(shared, "bucket").distinct())
+    members = cut(buckets.join(shared, "bucket"))
     # Two sets under one id: the id joins both classes.
-    twins = (
-        signed.where("n > 0 and id is not null")
-        .select("id", "set_key")
-        .distinct()
-        .join(sets.select("set_key", "node"), "set_key")
-        .where("id <> node")
-        .select(F.col("id").alias("a"), F.col("node").alias("b"))
-    )
-    repeated = (
+    repeated = cut(
         signed.where("id is not null")
         .groupBy("id")
         .agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"))
         .where("low <> high")
-        .select(F.col("id").alias("a"))
-    )
-    links = cut(twins.join(repeated, "a", "left_semi"))
-    texts = cut(
-        source.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").distinct()
+        .select("id")
     )
-    nodes = cut(members.select("node").distinct())
-    found = cut(components(nodes.union(links.select("a")).union(links.select("b")).distinct(), links))
+    moved = None  # (node, component) of nodes that are known to be linked with a smaller one
+    if not repeated.isEmpty():
+        twins = (
+            signed.where("n > 0 and id is not null")
+            .select("id", "set_key")
+            .distinct()
+            .join(repeated, "id", "left_semi")
+            .join(sets.select("set_key", "node"), "set_key")
+            .where("id <> node")
+            .select(F.col("node").alias("a"), F.col("id").alias("b"))
+        )
+        moved = united(cut(twins))
     facts = cut(
         members.groupBy("node")
-        .agg(F.sum("mates").alias("mates"))
+        .agg(F.sum("size").alias("rank_by"))
         .join(sets.groupBy("node").agg(F.min("odd").alias("odd"), F.max("odd").alias("other")), "node")
-        .select("node", F.col("mates").alias("rank_by"), F.when(F.col("odd") == F.col("other"), F.col("odd")).alias("odd"))
+        .select("node", "rank_by", F.when(F.col("odd") == F.col("other"), F.col("odd")).alias("odd"))
     )
+    texts = cut(source.join(facts.select(F.col("node").alias("id")), "id", "left_semi").distinct())
+    members = cut(members.join(facts, "node"))
     tested, hubs = None, HUBS
     while True:
-        now = cut(members.join(found, "node").join(facts, "node"))
-        apart = cut(
-            now.groupBy("bucket")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low <> high")
-            .select("bucket")
-        )
-        now = cut(now.join(apart, "bucket"))
+        if moved is None:
+            now = members.withColumn("component", F.col("node"))
+        else:
+            now = cut(
+                members.drop("size").join(moved, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            )
+            apart = cut(
+                now.groupBy("bucket")
+                .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+                .where("low <> high")
+                .select("bucket", "size")
+            )
+            now = cut(now.join(apart, "bucket"))
         if now.isEmpty():
             break
-        # Members of a bucket are dealt into `hubs` parts; the best of each part is a hub: of the
-        # component that has least members there, the one that shares most buckets.
+        # In a small bucket each member is a hub. Members of a larger one are dealt into `hubs` parts; the
+        # best of each part is a hub: of the component that has least members there, the one that shares
+        # most buckets.
+        small = F.col("size") <= hubs
+        part = F.when(small, F.struct("node", "n")).otherwise(F.struct(F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("node"), F.lit(-1).cast("long").alias("n")))
         best = F.min_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("odd").alias("hub_odd")), F.struct(-F.col("rank_by"), "node", "n"))
-        each = now.groupBy("bucket", "component", F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("part")).agg(
-            F.count("*").alias("size"), best.alias("best"), F.max("rank_by").alias("rank_by")
+        each = now.groupBy("bucket", "component", part.alias("part")).agg(
+            F.count("*").alias("held"), best.alias("best"), F.max("rank_by").alias("rank_by")
         )
         hub = F.struct("best.*", F.col("component").alias("hub_component"))
-        order = F.struct("size", -F.col("rank_by"), "best.hub", "best.hub_n")
+        order = F.struct("held", -F.col("rank_by"), "best.hub", "best.hub_n")
         chosen = cut(each.groupBy("bucket", "part").agg(F.min_by(hub, order).alias("h")).select("bucket", "h.*"))
         pairs = (
             now.join(chosen, "bucket")
@@ -329,30 +377,34 @@ def near_duplicates(
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        linked = (
-            pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b")
-            .mapInArrow(_verified(width, threshold_pct), "a long, b long")
-        )
-        linked = cut(linked)
-        if not linked.isEmpty():
-            links = links.union(cut(thinned(linked)))
-            found = cut(components(found.select("node"), links))
-        members = now.select("bucket", "node", "n").join(
-            chosen.select("bucket", F.col("hub").alias("node"), F.col("hub_n").alias("n")),
-            ["bucket", "node", "n"],
-            "left_anti",
-        )
+        n_pairs = pairs.count()
+        if n_pairs:
+            read = texts
+            if n_pairs <= FEW_PAIRS:
+                ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+                read = texts.join(F.broadcast(ids), "id", "left_semi")
+            linked = cut(
+                pairs.join(read.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+                .join(read.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+                .select("a", "b", "text_a", "text_b")
+                .mapInArrow(_verified(width, threshold_pct), "a long, b long")
+            )
+            if not linked.isEmpty():
+                before = [] if moved is None else [moved.select(F.col("component").alias("a"), F.col("node").alias("b"))]
+                moved = united(reduce(DataFrame.union, before, linked))
+        members = now.where(~small).drop("component")
         hubs *= GROWTH
         release(spark)
-    classes = cut(sets.select("set_key", "node").join(found, "node", "left"))
+    classes = sets.select("set_key", "node")
+    if moved is not None:
+        classes = classes.join(moved, "node", "left").select("set_key", F.coalesce("component", "node").alias("node"))
+    classes = cut(classes)
     return (
         signed.join(classes, "set_key", "left")
         .select(
             F.col("id").alias("doc_id"),
             F.col("n").alias("n_shingles"),
-            F.coalesce("component", "node", "id").alias("component_id"),
+            F.coalesce("node", "id").alias("component_id"),
         )
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

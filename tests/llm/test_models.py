@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +267,40 @@ def test_odd_conversations(spark):
     out = {x.chosen_id: x for x in preferences.preferences(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert set(out) == {1, 3} and out[1].kind == "alone" and out[1].prompt_turns == 2 and out[1].prompt.startswith("<||>\n\n<|user|>\nxx")
     assert out[3].kind == "prefix" and out[3].rejected_id == 2 and out[3].prompt_turns == 2 and out[3].rejected == "" == out[3].rejected and not out[3].rejected_mask
+
+
+def test_near_duplicates_in_few_jobs(spark):
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(150):  # copies of very different distance, so that several rounds are needed
+        words = list(base)
+        for k in r.sample(range(300), r.choice((0, 3, 12, 20, 30))):
+            words[k] = f"y{i}-{k}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    sc, out = spark.sparkContext, {}
+    for limit in (near_dedup.UNION, 0):  # all links in one task, and by label spreading
+        sc.setJobGroup(f"few-{limit}", "near duplicates")
+        near_dedup.UNION, kept = limit, near_dedup.UNION
+        try:
+            got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(df).collect()}
+        finally:
+            near_dedup.UNION = kept
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert got == brute(rows, 5, 80)
+        out[limit] = len(sc.statusTracker().getJobIdsForGroup(f"few-{limit}"))
+    assert out[near_dedup.UNION] < 110, out
+
+
+def test_united_links_by_plain_loops():
+    r = random.Random(3)
+    links = [(r.randrange(500), r.randrange(500, 900)) for _ in range(350)] + [(1000 + k, 1001 + k) for k in range(300)] + [(7, 7)]
+    least = {x: x for pair in links for x in pair}
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    batches = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in part]), pa.array([b for _, b in part])], names=["a", "b"]) for part in (links[:200], links[200:])]
+    got = [x for b in near_dedup._united(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert dict(got) == {x: c for x, c in least.items() if x != c} and len(got) == len(dict(got))
+    assert list(near_dedup._united(iter([]))) == []

@@ -304,3 +304,11 @@ def test_united_links_by_plain_loops():
     got = [x for b in near_dedup._united(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
     assert dict(got) == {x: c for x, c in least.items() if x != c} and len(got) == len(dict(got))
     assert list(near_dedup._united(iter([]))) == []
+
+
+def test_an_id_with_two_texts_joins_both_classes(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(4, a), (5, a + " tail"), (6, b), (9, a), (9, b + " tail"), (7, c), (8, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.component_id) for x in near_dedup.near_duplicates(df).collect())
+    assert got == [(4, 4), (5, 4), (6, 4), (7, 7), (8, 7), (9, 4), (9, 4)]

@@ -139,13 +139,13 @@ def change_points(observations: DataFrame, keys: list[str], most_outliers: int)
     """keys, split, left_value, right_value, agreements, outliers, rank: one value before, one behind.
 
     observations: keys, offset, value. Splits are tried at each offset, one behind it, and at 16 and the
-    length (column `length`). A side's value is its most frequent, the largest on ties; an empty side
+    length (column `length`), which bounds no split: offsets may lie beyond it. A side's value is its most frequent, the largest on ties; an empty side
     has the other's. Splits with more outliers than allowed, more than two on a side, or fewer than two
     agreements are left out. Order: most agreements, fewest outliers, the first split. Observations of a
     group come from a few known bytes of one stream, so pairing them with their splits stays small.
     """
     seen = observations.select(*keys, "offset", "value", "length")
-    ends = seen.select(*keys, F.explode(F.array(F.col("offset"), F.least(F.col("offset") + 1, F.col("length")), F.lit(16).cast("long"), F.col("length"))).alias("split")).distinct()
+    ends = seen.select(*keys, F.explode(F.array(F.col("offset"), F.col("offset") + 1, F.lit(16).cast("long"), F.col("length"))).alias("split")).distinct()
     sides = ends.join(seen, keys).withColumn("behind", F.col("offset") >= F.col("split"))
     counts = sides.groupBy(*keys, "split", "behind", "value").agg(F.count("*").alias("n"))
     modes = counts.groupBy(*keys, "split", "behind").agg(F.max(F.struct("n", "value")).alias("m"), F.sum("n").alias("all"))

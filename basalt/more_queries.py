@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import bytes as B
 from .functions import formats, probe, samples, scalars, scripts
-from .operators import hypotheses, identity, manifest, names, recovery, stored
+from .operators import hypotheses, identity, manifest, names, recovery, spread, stored
 from .sources import container
 
 
@@ -272,7 +272,8 @@ PACKED = zlib.compress(b"hello hello hello")
 
 def probed_blobs(spark, d):
     blob = F.concat(F.repeat(F.lit("q"), (F.col("p_partkey") % 20 + 1).cast("int")).cast("binary"), F.when(F.col("p_partkey") % 2 == 0, F.lit(PACKED)).otherwise(F.lit(b"BZh9")))
-    return probe.probed(_t(spark, d, "part").select("p_partkey", blob.alias("b")), "p_partkey", F.col("b")).select("id", "offset", "kind", "label", "confidence", "decoded_length")
+    rows = spread.spread(_t(spark, d, "part").select("p_partkey"))
+    return probe.probed(rows.select("p_partkey", blob.alias("b")), "p_partkey", F.col("b")).select("id", "offset", "kind", "label", "confidence", "decoded_length")
 
 
 def format_samples(spark, d):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spread import spread
+
 # Words of a context, and the extensions that names met there may lack.
 HINTS = (
     (("tjs", "execstorage", "include", "require", "plugin"), ("tjs",)),
@@ -25,8 +27,8 @@ def neighbours(df: DataFrame, name_col: str, radius: int = RADIUS) -> DataFrame:
     their padding. Names without such a run, and null names, give no row.
     """
     file = F.regexp_extract(F.col(f"`{name_col}`"), r"([^/]*)$", 1)
-    # Parts are found once a name, before its candidates are laid out.
-    found = df.select(
+    # Parts are found once a name, before its candidates are laid out; a name has so many that few short rows need many tasks.
+    found = spread(df).select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
         F.regexp_extract(file, r"^(.+?)(\.[^.]+)?$", 1).alias("stem"), F.regexp_extract(file, r"^(.+?)(\.[^.]+)?$", 2).alias("suffix"),
     )
@@ -36,8 +38,9 @@ def neighbours(df: DataFrame, name_col: str, radius: int = RADIUS) -> DataFrame:
     ).where(F.length("digits").between(1, MAX_DIGITS))
     value = F.col("digits").cast("long")
     near = F.array_except(F.sequence(F.greatest(value - radius, F.lit(0)), value + radius), F.array(value))
-    each = cut_up.select("row", "before", "after", F.length("digits").alias("width"), F.explode(F.transform(near, lambda x: x.cast("string"))).alias("number"))
-    number = F.when(F.length("number") < F.col("width"), F.lpad("number", F.col("width"), F.lit("0"))).otherwise(F.col("number"))
+    each = cut_up.select("row", "before", "after", F.length("digits").alias("width"), F.explode(near).alias("number"))
+    plain = F.col("number").cast("string")
+    number = F.when(F.length(plain) < F.col("width"), F.lpad(plain, F.col("width"), F.lit("0"))).otherwise(plain)
     return each.select("row.*", F.concat("before", number, "after").alias("candidate"))
 
 

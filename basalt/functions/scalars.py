@@ -25,8 +25,8 @@ UNIT_RANGES = (
 )
 # Signs of UTF-16 texts and the scores of signs, letters and digits, and other visible ASCII.
 UNIT_SIGNS, UNIT_SCORES = "{}[]();=,@/*+-_<>\"'\\:#$%&|!?", (7.0, 5.0, 3.0)
-# The code unit that stands for 0 in synthetic names, and the bits a unit carries.
-FIRST_UNIT, UNIT_BITS = 0x5000, 14
+# The code unit that stands for 0 in synthetic names, the bits a unit carries, and the units of 64 bits.
+FIRST_UNIT, UNIT_BITS, UNITS_MOST = 0x5000, 14, 5
 
 
 def hex_bytes(text: Column) -> Column:
@@ -80,23 +80,36 @@ def holds(name: Column, text: str) -> Column:
 
 def synthetic_name(ident: Column) -> Column:
     """A number as text: UNIT_BITS bits a character, the lowest first, from FIRST_UNIT on."""
-    count = F.greatest(F.lit(1), F.ceil(F.length(F.regexp_replace(F.bin(ident), "^0+", "")) / UNIT_BITS)).cast("int")
-    mask = (1 << UNIT_BITS) - 1
-    one = lambda k: F.lit(FIRST_UNIT) + F.shiftrightunsigned(ident, k * UNIT_BITS).bitwiseAND(F.lit(mask))
-    units = F.array(*[one(k) for k in range(5)])
-    return F.decode(F.unhex(F.array_join(F.transform(F.slice(units, F.lit(1), count), lambda u: F.lpad(F.hex(u), 4, F.lit("0"))), "")), "UTF-16BE")
+    number, mask = ident.cast("long"), (1 << UNIT_BITS) - 1
+
+    def one(k: int) -> Column:
+        """A unit's three bytes in UTF-8; null for those above the highest that is not zero."""
+        rest = F.shiftrightunsigned(number, k * UNIT_BITS)
+        unit = rest.bitwiseAND(F.lit(mask)) + FIRST_UNIT
+        high, middle = F.shiftleft(unit.bitwiseAND(F.lit(0xF000)), 4), F.shiftleft(unit.bitwiseAND(F.lit(0xFC0)), 2)
+        coded = F.hex(high.bitwiseOR(middle).bitwiseOR(unit.bitwiseAND(F.lit(0x3F))).bitwiseOR(F.lit(0xE08080)))
+        return F.when(rest != 0, coded) if k else coded
+
+    return F.unhex(F.concat_ws("", *map(one, range(UNITS_MOST)))).cast("string")
 
 
 def synthetic_id(name: Column) -> Column:
     """The number that synthetic_name() makes this name of; null for any other name."""
-    high = FIRST_UNIT + (1 << UNIT_BITS) - 1
-    fits = name.rlike(f"^[\\x{{{FIRST_UNIT:x}}}-\\x{{{high:x}}}]{{1,5}}$")
-    units = F.hex(F.encode(F.when(fits, name), "UTF-16BE"))
-    total = F.lit(0).cast("long")
-    for k in range(5):
-        unit = F.conv(F.substring(units, 4 * k + 1, 4), 16, 10).cast("long")
-        total = total.bitwiseOR(F.when(F.length(units) >= 4 * k + 4, F.shiftleft(unit - FIRST_UNIT, k * UNIT_BITS)).otherwise(F.lit(0).cast("long")))
-    return F.when(fits & (synthetic_name(total) == name), total)
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  (value is computed once, however often body has it)
+
+    def unit(x: Column, k: int) -> Column:
+        return F.when(F.length(x) > k, F.ascii(F.substring(x, k + 1, 1)).cast("long") - FIRST_UNIT).otherwise(F.lit(0).cast("long"))
+
+    def number(n: Column, units: Column) -> Column:
+        total = units[0]
+        for k in range(1, UNITS_MOST):
+            total = total.bitwiseOR(F.shiftleft(units[k], k * UNIT_BITS))
+        # The highest unit is not zero, and the last one holds what is left of 64 bits.
+        fits = n.between(1, UNITS_MOST) & (F.array_min(units) >= 0) & (F.array_max(units) < 1 << UNIT_BITS)
+        fits = fits & (units[UNITS_MOST - 1] < 1 << 64 - (UNITS_MOST - 1) * UNIT_BITS)
+        return F.when(fits & ((n == 1) | (F.get(units, n - 1) > 0)), total)
+
+    return once(name, lambda x: once(F.array(*[unit(x, k) for k in range(UNITS_MOST)]), lambda units: number(F.length(x), units)))
 
 
 def utf16_text(data: Column) -> Column:

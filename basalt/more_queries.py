@@ -26,8 +26,8 @@ NAMES = ("a/b.png", "x.OGG", "s.tlg", "data.psb.m", "noext", "k.bin", "u.unknown
 
 def hypotheses_by_name(spark, d):
     rows = _t(spark, d, "part").select("p_partkey", _pick(F.col("p_partkey"), NAMES).alias("name"))
-    found = hypotheses.for_names(rows, "name")
-    return found.groupBy("p_partkey", "name").agg(F.count("*").alias("n"), F.min("hypothesis").alias("first"), F.max("hypothesis").alias("last"))
+    found, each = hypotheses.allowed(rows, "name"), "allowed.hypothesis"
+    return found.select("p_partkey", "name", F.size("allowed").cast("long").alias("n"), F.array_min(each).alias("first"), F.array_max(each).alias("last"))
 
 
 def common_facts_by_name(spark, d):

@@ -6,9 +6,13 @@ rows, whatever the other side.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .spread import spread
+
 # Extensions of texts; then for each format its name, its extensions (* for those of
 # texts), the bytes it fixes (offset:hexadecimal) and how more of them are found. In natural order.
 TEXTS = "tjs ks asd txt csv func stand ini ksd kdt json xml cfg conf js css html htm lua toml sli dic svg"
@@ -140,30 +144,63 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(last, r"(?s)^.+\.([^.]*)$", 1))
 
 
-def for_names(entries: DataFrame, name_col: str) -> DataFrame:
-    """entries times the hypotheses (hyp_no, hypothesis) that their names allow.
+def _by_key() -> dict[str, list[tuple[int, str]]]:
+    """The hypotheses (hyp_no, hypothesis) of each extension, compound ones too, and of the generic ones."""
+    every = [(i, n) for i, n, *_ in _formats()]
+    out = {g: list(every) for g in GENERIC}
+    for i, n, extensions, *_ in _formats():
+        for e in extensions:
+            out.setdefault(e, []).append((i, n))
+    return out
+
+
+def _dimension(spark: SparkSession) -> DataFrame:
+    """_key, _allowed (its hypotheses) and _common (the facts that they share): a row for each key of _by_key()."""
+    held = {n: set(cribs) for _, n, _, cribs, _ in _formats()}
+    rows = []
+    for key, allowed in _by_key().items():
+        common = set.intersection(*(held[n] for _, n in allowed))
+        rows.append((key, allowed, [(at, bytearray(b)) for at, b in sorted(common)]))
+    return spark.createDataFrame(rows, "_key string, _allowed array<struct<hyp_no:int,hypothesis:string>>, _common array<struct<offset:bigint,plain:binary>>")
+
+
+def _with_allowed(entries: DataFrame, name_col: str, taken: str, merged: Callable[[Column, Column], Column]) -> DataFrame:
+    """entries with a column of the dimension, as _found: that of a name's extension and of its compound one, merged
+    where a name has both, null where it has neither. A row stays one row.
+    """
+    name, keys = F.col(f"`{name_col}`"), _dimension(entries.sparkSession)
+    tail = F.regexp_extract(F.lower(F.translate(F.coalesce(name, F.lit("")), "\\", "/")), r"(?s)\.([^.]*\.[^.]*)$", 1)
+    one = F.broadcast(keys.select(F.col("_key").alias("_key1"), F.col(taken).alias("_found1")))
+    two = F.broadcast(keys.where("_key like '%.%'").select(F.col("_key").alias("_key2"), F.col(taken).alias("_found2")))
+    rows = entries.withColumns({"_ext": extension(name), "_tail": tail}).join(one, F.col("_ext") == F.col("_key1"), "left").join(two, F.col("_tail") == F.col("_key2"), "left")
+    first, second = F.col("_found1"), F.col("_found2")
+    found = F.when(first.isNotNull() & second.isNotNull(), merged(first, second)).otherwise(F.coalesce(first, second))
+    return rows.withColumn("_found", found).drop("_ext", "_tail", "_key1", "_key2", "_found1", "_found2")
+
+
+def allowed(entries: DataFrame, name_col: str) -> DataFrame:
+    """entries with `allowed`: the hypotheses (hyp_no, hypothesis) that their names allow; rows without any are left out.
 
     By the extension, or by a compound one that the name ends with. A name without an extension, or
     with a generic one, allows all; one with an unknown extension none.
     """
-    spark, name = entries.sparkSession, F.col(f"`{name_col}`")
-    tail = F.regexp_extract(F.lower(F.translate(F.coalesce(name, F.lit("")), "\\", "/")), r"(?s)\.([^.]*\.[^.]*)$", 1)
-    known = hypotheses(spark).select("hyp_no", "hypothesis", F.explode("extensions").alias("_key"))
-    every = hypotheses(spark).select("hyp_no", "hypothesis", F.explode(F.array(*map(F.lit, GENERIC))).alias("_key"))
-    keys = F.array_distinct(F.array(extension(name), F.when(tail.contains("."), tail).otherwise(extension(name))))
-    rows = entries.withColumn("_keys", keys)
-    by_name = rows.join(F.broadcast(known.union(every)), F.expr("_keys[0] = _key"))
-    compound = rows.where("size(_keys) > 1").withColumn("_last", F.expr("_keys[1]"))
-    compound = compound.join(F.broadcast(known.where("_key like '%.%'")), F.expr("_last = _key")).drop("_last")
-    return by_name.unionByName(compound).drop("_keys", "_key")
+    return _with_allowed(entries, name_col, "_allowed", F.concat).where("_found is not null").withColumnRenamed("_found", "allowed")
+
+
+def for_names(entries: DataFrame, name_col: str) -> DataFrame:
+    """entries times the hypotheses (hyp_no, hypothesis) that their names allow, as allowed() has them."""
+    each = allowed(spread(entries), name_col).withColumn("_h", F.explode("allowed"))
+    return each.select(*[F.col(f"`{c}`") for c in entries.columns], "_h.hyp_no", "_h.hypothesis")
 
 
 def common_facts(entries: DataFrame, keys: list[str], name_col: str) -> DataFrame:
-    """keys, offset, plain: the facts that all hypotheses of a name share; keys tell the rows of entries apart."""
-    each = for_names(entries, name_col).where(~extension(F.col(name_col)).isin(*GENERIC))
-    sizes = each.groupBy(*keys).agg(F.count("*").alias("_models"))
-    met = each.join(F.broadcast(facts(entries.sparkSession)), "hypothesis").groupBy(*keys, "offset", "plain").agg(F.countDistinct("hypothesis").alias("_n"))
-    return met.join(sizes, keys).where("_n = _models").drop("_n", "_models")
+    """keys, offset, plain: the facts that all hypotheses of a name share; keys tell the rows of entries apart.
+
+    What a key's hypotheses share is told from the fixed table, so no row meets another.
+    """
+    named = entries.where(~extension(F.col(f"`{name_col}`")).isin(*GENERIC))
+    each = _with_allowed(named, name_col, "_common", F.array_intersect).withColumn("_f", F.explode("_found"))
+    return each.select(*[F.col(f"`{c}`") for c in keys], "_f.offset", "_f.plain")
 
 
 def little_endian(x: str, size: int) -> str:
